@@ -5,14 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, shard
+from . import bpe, decontam, shard, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th vector against all others."""
+    return topk.search(_table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5, id_col="vec_id", vec_col="embedding", scale=256)
+
+
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metadata and a conversion record for every page."""
+    r = warc.derive(_table(spark, sf_dir, "pages"), "page_id", "url", "html", bare=True)
+    return r.withColumnRenamed("key", "page_id").withColumn("block", F.col("block").cast("string"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE over every whole document: counts and digests of the ids and of the decoded bytes."""
     import public_tokenizers
@@ -20,14 +32,36 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document inside benchmark windows, and whether it is contaminated."""
+    return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on a ring of 40 shards with counts at most one apart."""
     return shard.assign(_table(spark, sf_dir, "documents"), shards=40)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pivot_topk": op2_pivot_topk,
+    "op3_warc_derivatives": op3_warc_derivatives,
     "op4_byte_bpe": op4_byte_bpe,
+    "op8_suffix_decontamination": op8_suffix_decontamination,
     "op10_ring_shards": op10_ring_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_pivot_topk": """
+WITH rows AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+    FROM rows q JOIN rows c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+""",
+}
