@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, shard, topk, warc
+from . import bpe, decontam, jaccard, shard, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_size_aware_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 4-word shingle sets with a Jaccard similarity of 0.85 or more."""
+    return jaccard.join(_table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of every document inside benchmark windows, and whether it is contaminated."""
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivot_topk": op2_pivot_topk,
     "op3_warc_derivatives": op3_warc_derivatives,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_size_aware_jaccard": op7_size_aware_jaccard,
     "op8_suffix_decontamination": op8_suffix_decontamination,
     "op10_ring_shards": op10_ring_shards,
 }
