@@ -222,7 +222,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, name: str, target:
     if ranged:
         cuts = d.where(F.col("id").isNotNull()).approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 and s["rows"] else []
         cuts = sorted({int(c) for c in cuts})
-        block = _range_of(F.col("id"), cuts)
+        block = _range_of(F.col("id"), cuts).cast("int")
         n = len(cuts) + 1
     else:
         block = F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.lit(0))), F.lit(n)).cast("int")
@@ -241,19 +241,15 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, name: str, target:
 
 
 def _range_of(x: Column, cuts: list[int]) -> Column:
-    """How many cuts are <= x, by a binary tree of comparisons (its depth is the logarithm of their number)."""
-
-    def tree(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"if(id < {cuts[mid]}L, {tree(lo, mid)}, {tree(mid + 1, hi)})"
-
-    if len(cuts) <= 512:
-        return F.expr(f"cast({tree(0, len(cuts))} as int)")
-    # many cuts: one array literal and a binary search by a higher-order function
-    arr = F.array(*[F.lit(c) for c in cuts])
-    return F.size(F.filter(arr, lambda c: c <= x)).cast("int")
+    """How many of the sorted cuts are <= x: first among every g-th of them, then among the g after it."""
+    if not cuts:
+        return F.lit(0)
+    g = math.isqrt(len(cuts) - 1) + 1
+    groups = [cuts[i : i + g] for i in range(0, len(cuts), g)]
+    heads = F.array(*[F.lit(c[0]) for c in groups])
+    coarse = F.size(F.filter(heads, lambda c: c <= x))
+    fine = F.size(F.filter(F.element_at(F.array(*[F.array(*[F.lit(v) for v in c]) for c in groups]), F.greatest(coarse, F.lit(1))), lambda c: c <= x))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * g + fine).cast("int")
 
 
 def unpack(ids: bytes, lens: bytes, payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

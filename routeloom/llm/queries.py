@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, shard, topk, warc
+from . import bpe, decontam, jaccard, shard, suffixes, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings that start in a smaller one."""
+    return suffixes.report(_table(spark, sf_dir, "documents"), length=50)
+
+
 def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best inner products of every 50th vector against all others."""
     return topk.search(_table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5, id_col="vec_id", vec_col="embedding", scale=256)
@@ -48,6 +53,7 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_pivot_topk": op2_pivot_topk,
     "op3_warc_derivatives": op3_warc_derivatives,
     "op4_byte_bpe": op4_byte_bpe,
