@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, shard, suffixes, topk, warc
+from . import bpe, decontam, jaccard, shard, suffixes, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,18 @@ def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every whole document, learned from the labelled rows that are not held out."""
+    documents = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, _table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, model).select(
+        "doc_id",
+        F.expr("pmod(crc32(cast(doc_id as string)), 4) = 2").alias("held_out"),
+        "score",
+        F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"),
+    )
+
+
 def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on a ring of 40 shards with counts at most one apart."""
     return shard.assign(_table(spark, sf_dir, "documents"), shards=40)
@@ -59,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op7_size_aware_jaccard": op7_size_aware_jaccard,
     "op8_suffix_decontamination": op8_suffix_decontamination,
+    "op9_subsequence_toxicity": op9_subsequence_toxicity,
     "op10_ring_shards": op10_ring_shards,
 }
 
