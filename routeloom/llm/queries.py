@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, shard, suffixes, topk, toxicity, warc
+from . import bpe, decontam, jaccard, lattice, shard, suffixes, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every whole document under the subword lattice, and the base score."""
+    import public_tokenizers
+
+    return lattice.score(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_size_aware_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document under links of 4-word shingle sets with a Jaccard similarity of 0.85 or more."""
     return jaccard.join(_table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id")
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivot_topk": op2_pivot_topk,
     "op3_warc_derivatives": op3_warc_derivatives,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_subword_lattice": op6_subword_lattice,
     "op7_size_aware_jaccard": op7_size_aware_jaccard,
     "op8_suffix_decontamination": op8_suffix_decontamination,
     "op9_subsequence_toxicity": op9_subsequence_toxicity,
