@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, lattice, shard, suffixes, topk, toxicity, warc
+from . import blocks, bpe, decontam, jaccard, lattice, shard, suffixes, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return blocks.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log10 probability of every whole document under the subword lattice, and the base score."""
     import public_tokenizers
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivot_topk": op2_pivot_topk,
     "op3_warc_derivatives": op3_warc_derivatives,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_block_labeller": op5_block_labeller,
     "op6_subword_lattice": op6_subword_lattice,
     "op7_size_aware_jaccard": op7_size_aware_jaccard,
     "op8_suffix_decontamination": op8_suffix_decontamination,
