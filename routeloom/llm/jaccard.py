@@ -257,12 +257,16 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     at = lists.select("token", "id", "n", "i").join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     mixed_lists = at.select("token", "c").distinct().groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     at = stored(at.join(mixed_lists, "token", "left_semi"), "jaccard-mixed")
-    near = at.groupBy("token", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("i")).alias("rest"))
-    other = near.select("token", F.col("c").alias("d"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rest").alias("rest2"))
+    near = at.groupBy("token", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("i")).alias("rest"), F.count("*").alias("size"))
+    other = near.select("token", *[F.col(k).alias(v) for k, v in (("c", "d"), ("lo", "lo2"), ("hi", "hi2"), ("rest", "rest2"), ("size", "size2"))])
     may = (100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo")) & ((100 + percent) * F.least("rest", "rest2") >= percent * (F.col("lo") + F.col("lo2")))
-    meet = near.join(other, "token").where((F.col("c") < F.col("d")) & may & (F.greatest("hi", "hi2") > x)).select("token", "c", "d")
-    right = at.select("token", F.col("c").alias("d"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))
-    pairs = at.join(meet, ["token", "c"]).join(right, ["token", "d"]).where(heavy & _may(percent)).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    meet = near.join(other, "token").where((F.col("c") < F.col("d")) & may & (F.greatest("hi", "hi2") > x))
+    # the members of the smaller component are spread out, and meet those of the larger one under the filters
+    first = F.col("size") <= F.col("size2")
+    meet = meet.select("token", F.when(first, F.col("c")).otherwise(F.col("d")).alias("c"), F.when(first, F.col("d")).otherwise(F.col("c")).alias("d"))
+    left = at.join(meet, ["token", "c"]).select("token", "d", F.col("id").alias("a"), "n", "i")
+    right = at.select(F.col("token").alias("token2"), F.col("c").alias("d2"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))
+    pairs = left.join(right, (F.col("token") == F.col("token2")) & (F.col("d") == F.col("d2")) & heavy & _may(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "jaccard-pairs")
     more = _verified(pairs, cands, percent)
     final = components(more.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b"))))
