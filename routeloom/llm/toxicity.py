@@ -114,6 +114,10 @@ def units_of(buf: np.ndarray, off: np.ndarray) -> Units:
     z = np.searchsorted(solid, ends) - 1
     ok = z >= a
     starts, ends = solid[a[ok]], solid[z[ok]] + 1
+    edge = np.zeros(len(c) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    c[np.cumsum(edge[:-1], dtype=np.int8) == 0] = 0  # what was cut off belongs to no unit
     row = np.searchsorted(row_ends, starts, "right") - 1
     byte = where[starts]
     size = ends - starts
@@ -392,8 +396,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").where(f"not ({held_out})")
     own = own.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    t = texts.join(F.broadcast(own), "id").toArrow().sort_by("id")
-    return train(t.column("text").to_pylist(), t.column("y").to_pylist())
+
+    def learn(t: pa.Table) -> pa.Table:
+        t = t.select(["id", "text", "y"]).sort_by("id")
+        m = train(t.column("text").to_pylist(), t.column("y").to_pylist())
+        return pa.table({"table": pa.array([m.table.tobytes()], pa.binary()), "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
+
+    # the sample is bounded, so that one task may hold it; the driver gets the model alone
+    got = texts.join(F.broadcast(own), "id").groupBy(F.lit(0).alias("g")).applyInArrow(learn, "table binary, bias double, slope double, shift double").first()
+    return Model(np.frombuffer(got["table"]), got["bias"], got["slope"], got["shift"]) if got else train([], [])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
