@@ -56,7 +56,7 @@ def op7_size_aware_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of every document inside benchmark windows, and whether it is contaminated."""
-    return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("longest_run")
 
 
 def op9_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ring_shards": op10_ring_shards,
 }
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w"
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_suffix_decontamination": f"""
+WITH b AS (SELECT item_id::VARCHAR AS item_id, {_WORDS} FROM benchmark),
+win AS (
+    SELECT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS g
+    FROM (SELECT *, least(13, len(w)) AS n FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_WORDS} FROM documents),
+dg AS (
+    SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d CROSS JOIN (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+h AS (SELECT DISTINCT doc_id, p, n, item_id FROM dg JOIN win USING (n, g)),
+hit AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS x FROM h) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+""",
     "op2_pivot_topk": """
 WITH rows AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, pack_blocks, packed, packed_sorted, parts_of, released, spans, stored, sums, unpack, unpacked, unpacked_sorted
+from .common import pack_blocks, packed, packed_sorted, parts_of, released, spans, stored, sums, unpack, unpacked, unpacked_sorted
 
 LENGTH = 50
 #: Perfect difference covers (fixed values): every residue modulo V is a difference of two members.
