@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..settings import MODELS, NUMERIC_SUFFIX, ROLES, SYSTEM_PROMPTS, generation_kwargs, resolve_dtype
+from ..settings import MOCK_RESPONSE, MODELS, NUMERIC_SUFFIX, ROLES, SYSTEM_PROMPTS, generation_kwargs, resolve_dtype
 
 CACHE = "key string, response string"
 
@@ -43,7 +43,7 @@ class Generator:
 
 
 def mock_response(role: str) -> str:
-    return f"MOCK_PLACEHOLDER [role={role}] not answered"
+    return MOCK_RESPONSE.format(role=role)
 
 
 def _transformers(model_id: str, role: str, device: str, dtype: str | None):

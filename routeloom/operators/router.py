@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..settings import DEFAULT_SEED, EMBEDDING_MODEL, MIN_CLUSTER_WARN, N_CLUSTERS, ROLES
+from ..settings import DEFAULT_SEED, EMBEDDING_MODEL, MIN_CLUSTER_WARN, N_CLUSTERS, ROLES, UNDERSIZED
 from .cluster import SphericalKMeans
 
 
@@ -52,7 +52,7 @@ def assignment(matrix: DataFrame) -> DataFrame:
 
 def undersized(size: DataFrame, least: int) -> DataFrame:
     """(cluster, message) of clusters with too few items."""
-    return size.where(F.col("size") < least).select("cluster", F.format_string(f"Cluster %d has only %d items (< min_cluster_warn={least}).", "cluster", "size").alias("message"))
+    return size.where(F.col("size") < least).select("cluster", F.format_string(UNDERSIZED.format(least=least), "cluster", "size").alias("message"))
 
 
 def duplicate_ids(items: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from ..functions import answers, vectors
 from ..operators import generate, metrics
 from ..operators.generate import Generator
 from ..operators.router import Router
-from ..settings import DEFAULT_SEED, MODELS, N_CLUSTERS, ROLES, SIZE_CONFOUND_NOTE, SYSTEM_PROMPTS, generation_settings
+from ..settings import DEFAULT_SEED, MODELS, N_CLUSTERS, ROLES, SIZE_CONFOUND_NOTE, SUMMARY, SYSTEM_PROMPTS, generation_settings
 from ..sources import files, items
 
 
@@ -43,7 +43,7 @@ def run(spark: SparkSession, args: argparse.Namespace, make: Callable[..., dict[
     try:
         return _run(spark, args, make, embed)
     except FileNotFoundError as e:
-        print(f"Data file not found: {e}", file=sys.stderr)
+        print(f"no such data file: {e}", file=sys.stderr)
     except ValueError as e:
         print(f"Validation error: {e}", file=sys.stderr)
     return 2
@@ -89,7 +89,7 @@ def _run(spark: SparkSession, args: argparse.Namespace, make, embed) -> int:
         try:
             new.count()
         except Exception as e:
-            print(f"RuntimeError loading/running {role} runner: {str(e)[-300:]}. Try --device cpu or a smaller --scale.", file=sys.stderr)
+            print(f"generating for {role} failed: {str(e)[-300:]} (a smaller --scale or --device cpu may help)", file=sys.stderr)
             return 2
         files.append_cache(new, store)
         made = new if made is None else made.unionByName(new)
@@ -103,7 +103,7 @@ def _run(spark: SparkSession, args: argparse.Namespace, make, embed) -> int:
         try:
             router = files.load_state(state, embed=how)
         except FileNotFoundError:
-            print(f"Router state file not found: {state}", file=sys.stderr)
+            print(f"no router state at {state}", file=sys.stderr)
             return 2
         summary: dict = {"skipped": True}
     else:
@@ -126,11 +126,7 @@ def _run(spark: SparkSession, args: argparse.Namespace, make, embed) -> int:
     files.write_json(f"{folder}/timing.json", {r: times[r] for r in ROLES})
     files.write_json(f"{folder}/run_config.json", _config(args, by_role, name, val.count(), test.count()))
     made_n, cached_n = (sum(t[k] for t in times.values()) for k in ("n_generated", "n_cached"))
-    print(
-        f"Run summary ({args.scale}, benchmark={args.benchmark}, mock={args.mock}):\n  Routed accuracy   : {m['routed']['acc']:.4f}\n  Baseline accuracy : {m['baseline']['acc']:.4f}\n"
-        f"  Delta (routed - bl): {m['delta']:+.4f}\n  McNemar p-value   : {m['mcnemar']['p']:.4f}\n  Oracle accuracy   : {m['oracle']['acc']:.4f}\n"
-        f"  Routing counts    : {m['routing_counts']}\n  Generations (new/cached): {made_n}/{cached_n}\n  Run directory     : {folder}"
-    )
+    print(SUMMARY.format(scale=args.scale, benchmark=args.benchmark, mock=args.mock, routed=m["routed"]["acc"], baseline=m["baseline"]["acc"], delta=m["delta"], p=m["mcnemar"]["p"], oracle=m["oracle"]["acc"], counts=m["routing_counts"], made=made_n, cached=cached_n, folder=folder))
     for d in (val, test, req, cache, todo, responses, table, records):
         d.unpersist()
     return 0

@@ -56,7 +56,7 @@ def assert_mock_path(path: str, root: str = ".") -> None:
     p, r = Path(path).resolve(), Path(root).resolve()
     parts = p.relative_to(r).parts if p.is_relative_to(r) else PurePath(path).parts
     if {"results", "artifacts"} & set(parts):
-        raise RuntimeError(f"Mock runs cannot write to production directories ('results' or 'artifacts'): {path}")
+        raise RuntimeError(f"a mock run must not write to {path}")
 
 
 def run_dir(root: str, scale: str, benchmark: str, seed: int, device: str, mock: bool) -> str:
