@@ -113,7 +113,7 @@ class Block:
         edge = np.zeros(len(self.buf) + 1, np.int32)
         np.add.at(edge, at, 1)
         np.add.at(edge, at + size, -1)
-        return np.cumsum(edge)[:-1] > 0
+        return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
     def level3(self, told: np.ndarray) -> None:
         """Positions that share a sample, but those whose string lies in one removed name: a smaller document has that whole."""
@@ -123,7 +123,7 @@ class Block:
         edge = np.zeros(n + 1, np.int32)
         np.add.at(edge, np.maximum(self.shared - self.v + 1, 0), 1)
         np.add.at(edge, self.shared + 1, -1)
-        near = np.cumsum(edge)[:-1] > 0
+        near = np.cumsum(edge[:-1], dtype=np.int32) > 0
         near &= ~self.covered(removed, self.v + 1)
         self.name(self.fits(np.flatnonzero(near), self.length), self.length)
 
@@ -224,15 +224,15 @@ def analysed(docs: DataFrame, finish: Callable[[Block], pa.Table], schema: str,
 
 def _measures(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """By row: bytes, removed bytes, maximal removed runs; and the offsets of what is kept."""
-    gone = np.zeros(len(b.buf) + 1, np.int64)
-    np.cumsum(b.mask, out=gone[1:])
+    gone = np.zeros(len(b.buf) + 1, np.int32)
+    np.cumsum(b.mask, out=gone[1:], dtype=np.int32)
     start = b.mask.copy()
     start[1:] &= ~b.mask[:-1]
     heads = b.off[:-1][b.off[:-1] < len(b.buf)]
     start[heads] = b.mask[heads]
-    runs = np.zeros(len(b.buf) + 1, np.int64)
-    np.cumsum(start, out=runs[1:])
-    return np.diff(b.off), np.diff(gone[b.off]), np.diff(runs[b.off]), b.off - gone[b.off]
+    runs = np.zeros(len(b.buf) + 1, np.int32)
+    np.cumsum(start, out=runs[1:], dtype=np.int32)
+    return np.diff(b.off), np.diff(gone[b.off]).astype(np.int64), np.diff(runs[b.off]).astype(np.int64), b.off - gone[b.off]
 
 
 def report(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
