@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MASK64 = (1 << 64) - 1
@@ -203,7 +203,43 @@ def unpacked_sorted(b: bytes, dtype=np.uint64) -> np.ndarray:
     return np.cumsum(unpacked(b, dtype), dtype=dtype)
 
 
-# ---------------------------------------------------------------- packed blocks of documents
+# ---------------------------------------------------------------- rows and packed blocks of documents
+
+#: The column of row_keys().
+KEY = "__key"
+
+
+def row_keys(docs: DataFrame, id_col: str, text_col: str, target: int = 8 << 20) -> tuple[DataFrame, dict]:
+    """docs with the column KEY: the id, and for each row without one a number of its own above all ids.
+
+    The latter are dealt into buckets of about `target` text bytes by a hash of the text and numbered in the order of its
+    MD5, so that every run gives a text the same numbers (rows of one text may swap theirs).
+    Returns them and {"bytes", "rows", "none"}; none is the first number that is no id (None, where every row has an id).
+    """
+    key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    size = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    s = docs.agg(F.count("*").alias("rows"), size(F.octet_length(text)).alias("bytes"), F.max(key).alias("top"), F.count_if(key.isNull()).alias("lone"), size(F.when(key.isNull(), F.octet_length(text))).alias("lone_bytes")).first()
+    out = {"bytes": int(s["bytes"]), "rows": int(s["rows"]), "none": None}
+    if not s["lone"]:
+        return docs.withColumn(KEY, key), out
+    out["none"] = 0 if s["top"] is None else s["top"] + 1
+    if out["none"] + s["lone"] > 1 << 63:
+        raise ValueError(f"no numbers above the ids of {id_col} are left for the rows without one")
+    bucket = F.pmod(F.xxhash64(text), F.lit(max(1, math.ceil(s["lone_bytes"] / target))))
+    lone = docs.where(key.isNull()).withColumn("__bucket", bucket)
+    start, starts = out["none"] - 1, []
+    for r in lone.groupBy("__bucket").count().orderBy("__bucket").collect():  # one number a bucket
+        starts += [F.lit(r["__bucket"]), F.lit(start).cast("long")]
+        start += r["count"]
+    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(F.md5(text.cast("binary"))))
+    lone = lone.withColumn(KEY, F.element_at(F.create_map(*starts), F.col("__bucket")) + place).drop("__bucket")
+    return docs.where(key.isNotNull()).withColumn(KEY, key).unionByName(lone), out
+
+
+def own_id(key: Column, none: int | None) -> Column:
+    """The id that a key of row_keys() stands for, null for rows without one."""
+    return key if none is None else F.when(key < none, key)
+
 
 BLOCKS = "block int, n int, ids binary, lens binary, payload binary"
 
@@ -213,19 +249,20 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, name: str, target:
 
     ranged: blocks are ranges of ids (equal ids share a block), rows ordered by id, else they are dealt by a hash of the id.
     Block borders by range come from quantiles of the id weighted by one row each (one number a block reaches the driver).
-    Returns the blocks and {"bytes", "rows", "blocks"}.
+    Rows without an id are documents of their own: ids holds the keys of row_keys().
+    Returns the blocks and {"bytes", "rows", "blocks", "none"}, the last as row_keys() has it.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    s = d.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    d, s = row_keys(docs, id_col, text_col, target)
+    d = d.select(F.col(KEY).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = max(1, math.ceil(s["bytes"] / target))
     if ranged:
-        cuts = d.where(F.col("id").isNotNull()).approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 and s["rows"] else []
+        cuts = d.approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 and s["rows"] else []
         cuts = sorted({int(c) for c in cuts})
         block = _range_of(F.col("id"), cuts).cast("int")
         n = len(cuts) + 1
     else:
-        block = F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.lit(0))), F.lit(n)).cast("int")
+        block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
 
     def pack(t: pa.Table) -> pa.Table:
         ids = t.column("id").to_numpy(zero_copy_only=False)
@@ -234,10 +271,10 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, name: str, target:
         buf, off = text_bytes(t.column("text"))
         return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": [np.ascontiguousarray(t.column("id").to_numpy(zero_copy_only=False).astype(np.int64)).tobytes()], "lens": [packed(np.diff(off))], "payload": [zstandard.ZstdCompressor(3).compress(buf.tobytes())]})
 
-    out = d.where(F.col("id").isNotNull()).withColumn("block", block).groupBy("block").applyInArrow(pack, BLOCKS)
+    out = d.withColumn("block", block).groupBy("block").applyInArrow(pack, BLOCKS)
     out = stored(out, name)
     released(spark)
-    return out, {"bytes": int(s["bytes"]), "rows": int(s["rows"]), "blocks": n}
+    return out, s | {"blocks": n}
 
 
 def _range_of(x: Column, cuts: list[int]) -> Column:

@@ -14,7 +14,7 @@ slice of its own), so a benchmark of any size passes in turns, each turn carryin
 No document text is shuffled.
 
 Null or empty documents have no words and no hits; repeated rows are judged each for itself; items repeated under
-several ids are all named; empty tables give empty results; columns of other names pass through remove() unread.
+several ids are all named; items without an id are items too, found under a null that counts as one name and is in no digest; empty tables give empty results; columns of other names pass through remove() unread.
 """
 
 from __future__ import annotations
@@ -47,16 +47,17 @@ def row_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Windows:
     """The test suffixes of a slice of the benchmark: distinct windows as rows of big-endian words, and where they come from."""
 
-    def __init__(self, ids: list[str], texts: list[str | None], window: int = WINDOW):
+    def __init__(self, ids: list[str | None], texts: list[str | None], window: int = WINDOW):
         buf, off = text_bytes(pa.array(texts, pa.string()))
         words, first = row_words(buf, off)
-        rows, self.items, self.at, lens = [], [], [], []
+        rows, self.items, self.names, self.at, lens = [], [], [], [], []
         for i, item in enumerate(ids):
             w = words[first[i] : first[i + 1]]
             n = min(window, len(w))
             for k in range(len(w) - n + 1 if n else 0):
                 rows.append(w[k : k + n])
                 self.items.append(item)
+                self.names.append((item is None, item or "", i if item is None else 0))  # sorts, and tells items without an id apart
                 self.at.append(k)
                 lens.append(n)
         self.window, self.lens = window, np.array(lens, np.int64)
@@ -110,17 +111,16 @@ class SuffixArray:
         return (np.concatenate(where), np.concatenate(which)) if where else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def slices(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[tuple[list[str], list[str | None]]]:
+def slices(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[tuple[list[str | None], list[str | None]]]:
     """The benchmark's rows, a bounded number of bytes at a time (rows come to the driver partition by partition)."""
     ids, texts, size = [], [], 0
     for r in benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
         if ids and size + len(r[1] or "") * 4 > most:
             yield ids, texts
             ids, texts, size = [], [], 0
-        if r[0] is not None:
-            ids.append(r[0])
-            texts.append(r[1])
-            size += len(r[1] or "") * 4
+        ids.append(r[0])
+        texts.append(r[1])
+        size += len(r[1] or "") * 4
     yield ids, texts
 
 
@@ -156,7 +156,7 @@ def _finder(shared, text_col: str, had: bool):
                 if old:
                     pairs += [(s["start"], s["end"]) for s in old["spans"]]
                     found |= set(old["items"])
-                out.append({"n_words": int(first[i + 1] - first[i]), "spans": [{"start": s, "end": e} for s, e in merged(pairs)], "items": sorted(found)})
+                out.append({"n_words": int(first[i + 1] - first[i]), "spans": [{"start": s, "end": e} for s, e in merged(pairs)], "items": sorted(found, key=lambda x: (x is None, x or ""))})
             kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
             cols = [c for c, f in zip(b.columns, b.schema.names, strict=True) if f != "__hits"]
             names = [f for f in b.schema.names if f != "__hits"]
@@ -216,14 +216,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 where, which = SuffixArray(words, first, w).find(w)
                 rows = []
                 own = np.searchsorted(first, where, "right") - 1
-                hits = sorted((int(r), w.items[k], int(p - first[r]) - w.at[k], w.at[k], int(w.lens[k])) for p, k, r in zip(where, which, own, strict=True))
+                hits = sorted((int(r), w.names[k], int(p - first[r]) - w.at[k], w.at[k], int(w.lens[k])) for p, k, r in zip(where, which, own, strict=True))
                 for r, item, diagonal, at, n in hits:
                     if rows and rows[-1][:3] == [r, item, diagonal] and at <= rows[-1][4]:
                         rows[-1][4] = at + n
                     else:
                         rows.append([r, item, diagonal, at, at + n])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column(0)[x[0]].as_py() for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.string()), *(pa.array(v, pa.int64()) for v in ([x[2] + x[3] for x in rows], [x[3] for x in rows], [x[4] - x[3] for x in rows]))],
+                    [pa.array([b.column(0)[x[0]].as_py() for x in rows], pa.int64()), pa.array([None if x[1][0] else x[1][1] for x in rows], pa.string()), *(pa.array(v, pa.int64()) for v in ([x[2] + x[3] for x in rows], [x[3] for x in rows], [x[4] - x[3] for x in rows]))],
                     ["id", "item_id", "doc_word", "item_word", "n_words"],
                 )
 

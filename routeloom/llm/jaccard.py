@@ -19,7 +19,8 @@ How many documents hold a shingle is counted by parts of the fingerprint range:
 distinct fingerprints (cut to as many bits as the corpus needs), and get the counts back in the same order.
 
 Null and empty texts have empty sets, are linked with nothing, and are components of their own; rows that repeat an id
-count as that id; rows without an id are left out; empty tables give empty results; other columns are not read.
+count as that id; rows without an id are documents of their own after all others (ids of their classes and components are
+null where no row has one); empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, dropped, grams, mixed, pack_blocks, packed, packed_sorted, parts_of, passes, released, spans, stored, sums, unpack, unpacked, unpacked_sorted, words_of
+from .common import KEY, LOWER, NOT_SPACE, dropped, grams, mixed, own_id, pack_blocks, packed, packed_sorted, parts_of, passes, released, row_keys, spans, stored, sums, unpack, unpacked, unpacked_sorted, words_of
 from .components import components
 
 #: Light sets are this large at most, whatever the costs (19 shingles have 191 subsets to enumerate).
@@ -273,10 +274,12 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
 
     classes = reps.select("one", "two", "n", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("one", "two", "n", F.col("rep"), F.coalesce("component", "rep").alias("component"))
     out = sigs.join(classes, ["one", "two", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+    own = lambda c: own_id(c, size["none"])
+    return out.select(own(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), own(F.coalesce("rep", "id")).alias("class_id"), own(F.coalesce("component", "id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that have the smallest id of their component, with their columns as they were."""
-    first = join(docs, words, percent, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__first")).distinct()
-    return docs.join(first, docs[id_col].cast("long") == first["__first"], "left_semi")
+    """The documents that have the smallest id of their component, with their columns as they were; one of a component without ids."""
+    own, _ = row_keys(docs, id_col, text_col)
+    first = join(own, words, percent, KEY, text_col).where(F.col(KEY) == F.col("component_id")).select(F.col(KEY).alias("__first")).distinct()
+    return own.join(first, own[KEY] == first["__first"], "left_semi").select(*docs.columns)

@@ -17,8 +17,8 @@ them up, scores each of its words once, and sends count and probability back to
 is the words of a block or of a range.  To the driver come N, V and the expected counts of the vocabulary's pieces.
 
 The base score is sum(log10((c + 1) / (N + 1 * (V + 1)))).  Null and empty texts have the end alone; without training
-texts all counts are 0 (and the base is log10(1 / 1) = 0 a token); rows that repeat an id are scored each, rows without an
-id are left out; empty tables give empty results; other columns are not read.
+texts all counts are 0 (and the base is log10(1 / 1) = 0 a token); rows that repeat an id are scored each, as are rows
+without one, which are never held out; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, pack_blocks, packed, packed_sorted, parts_of, passes, released, spans, stored, sums, unpack, unpacked, unpacked_sorted, words_of
+from .common import LOWER, NOT_SPACE, own_id, pack_blocks, packed, packed_sorted, parts_of, passes, released, spans, stored, sums, unpack, unpacked, unpacked_sorted, words_of
 
 #: Passes that fit the pieces' probabilities.
 ROUNDS = 2
@@ -179,21 +179,21 @@ def _words(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         yield ids[i:j], part, starts, ends, first, h
 
 
-def _held(ids: np.ndarray, mod: int, rest: int) -> np.ndarray:
-    return np.array([zlib.crc32(str(i).encode()) % mod == rest for i in ids.tolist()], bool)
+def _held(ids: np.ndarray, mod: int, rest: int, none: int | None) -> np.ndarray:
+    return np.array([(none is None or i < none) and zlib.crc32(str(i).encode()) % mod == rest for i in ids.tolist()], bool)
 
 
-def _collect(row: dict, mod: int, rest: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def _collect(row: dict, mod: int, rest: int, none: int | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """The block's distinct words: fingerprints, counts in training texts, bytes."""
     hs, cs, ws = [], [], []
     for ids, part, starts, ends, first, h in _words(row):
-        train = np.repeat(~_held(ids, mod, rest), np.diff(first))
+        train = np.repeat(~_held(ids, mod, rest, none), np.diff(first))
         u, at, inv = np.unique(h, return_index=True, return_inverse=True)
         hs.append(u)
         cs.append(np.bincount(inv, train, len(u)).astype(np.int64))
         raw = part.tobytes()
         ws += [raw[starts[k] : ends[k]] for k in at]
-        ends_here = int((~_held(ids, mod, rest)).sum())
+        ends_here = int((~_held(ids, mod, rest, none)).sum())
         hs.append(np.array([END]))
         cs.append(np.array([ends_here]))
         ws.append(b"")
@@ -216,13 +216,14 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text; texts with crc32(id) % mod = rest are not learned from."""
     spark = docs.sparkSession
     blocks, size = pack_blocks(docs, id_col, text_col, "lattice-blocks")
+    none = size["none"]
     parts = parts_of(spark, size["bytes"] / 24, 400_000)
     cuts = np.array([(1 << 64) * i // parts for i in range(1, parts)], np.uint64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                h, c, words = _collect(r, mod, rest)
+                h, c, words = _collect(r, mod, rest, none)
                 at = [0, *np.searchsorted(h, cuts).tolist(), len(h)]
                 own = [p for p in range(parts) if at[p + 1] > at[p]]
                 text = [_joined(words[at[p] : at[p + 1]]) for p in own]
@@ -312,7 +313,8 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
             for ids, _, _, _, first, h in _words(r):
                 at = np.searchsorted(names, h)
                 add_up = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[first])  # noqa: B023, E731
-                out.append(pa.table({"id": ids, "held_out": _held(ids, mod, rest), "n_tokens": np.diff(first) + 1, "n_known": add_up(c[at] > 0).astype(np.int64) + int(c[end] > 0), "train_tokens": np.full(len(ids), n, np.int64), "base_score": add_up(base[at]) + base[end], "score": add_up(log[at]) + log[end]}))
+                out.append(pa.table({"id": ids, "held_out": _held(ids, mod, rest, none), "n_tokens": np.diff(first) + 1, "n_known": add_up(c[at] > 0).astype(np.int64) + int(c[end] > 0), "train_tokens": np.full(len(ids), n, np.int64), "base_score": add_up(base[at]) + base[end], "score": add_up(log[at]) + log[end]}))
         return pa.concat_tables(out)
 
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
+    out = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.withColumn("id", own_id(F.col("id"), none)).withColumnRenamed("id", id_col)

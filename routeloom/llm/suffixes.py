@@ -19,7 +19,7 @@ each range merges those of all blocks, compares neighbours, and sends back one b
 follows the names, and a string that stands in every document is one name of each block.
 
 Null and empty texts have no bytes; a document never loses bytes to itself or to a row of the same id; of equal texts
-the one with the smallest id stays; rows without an id are left out; empty tables give empty results; other columns are not read.
+the one with the smallest id stays; rows without an id are documents of their own after all others; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack_blocks, packed, packed_sorted, parts_of, released, spans, stored, sums, unpack, unpacked, unpacked_sorted
+from .common import KEY, own_id, pack_blocks, packed, packed_sorted, parts_of, released, row_keys, spans, stored, sums, unpack, unpacked, unpacked_sorted
 
 LENGTH = 50
 #: Perfect difference covers (fixed values): every residue modulo V is a difference of two members.
@@ -219,7 +219,8 @@ def analysed(docs: DataFrame, finish: Callable[[Block], pa.Table], schema: str,
         sent = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(after(level - 1, False), message)
         told = told.unionByName(stored(sent.groupBy("part").applyInArrow(_compare(level), answer), f"suffix-level{level}"))
         released(spark)
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(after(3, True), schema)
+    out = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(after(3, True), schema)
+    return out.withColumn("id", own_id(F.col("id"), size["none"]))
 
 
 def _measures(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -276,7 +277,8 @@ def kept_texts(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with what is left of their texts; other columns as they were."""
-    left = kept_texts(docs, length, id_col, text_col).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("kept").alias("__kept")).dropDuplicates(["__id", "__mark"])
+    own, _ = row_keys(docs, id_col, text_col)
+    left = kept_texts(own, length, KEY, text_col).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("kept").alias("__kept")).dropDuplicates(["__id", "__mark"])
     mark = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    d = docs.withColumn("__mark", mark).join(left.withColumnRenamed("__mark", "__own"), (docs[id_col].cast("long") == F.col("__id")) & (F.col("__mark") == F.col("__own")))
+    d = own.withColumn("__mark", mark).join(left.withColumnRenamed("__mark", "__own"), (F.col(KEY) == F.col("__id")) & (F.col("__mark") == F.col("__own")))
     return d.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col("__kept"))).select(*docs.columns)
