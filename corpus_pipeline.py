@@ -26,8 +26,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-byte strings that a smaller document holds; a text that had bytes and has none left goes."""
-    cut = suffixes.deduplicated(docs, length=50).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return cut.where("text is null or text != ''")
+    had = docs.withColumn("__had", F.coalesce(F.octet_length("text"), F.lit(0)) > 0)
+    cut = suffixes.deduplicated(had, length=50).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return cut.where("not __had or text != ''").drop("__had")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,25 @@ def test_items_without_an_id_are_found(spark):
         assert {i: (r.n_hit, r.n_items, r.items_sha256) for i, r in got.items()} == {1: (20, 2, decontam.digest_of(["4"])), 2: (20, 1, decontam.digest_of([])), 3: (0, 0, decontam.digest_of([])), None: (0, 0, decontam.digest_of([]))}
         assert texts(decontam.remove(d, b, slice_bytes=most)) == [(3, "clean"), (None, "clean too")]
     assert sorted(((r.doc_id, r.item_id, r.n_words) for r in decontam.matches(d, b).collect()), key=repr) == [(1, "4", 20), (1, None, 20), (2, None, 20)]
+
+
+# ---------------------------------------------------------------- the pipeline's stages
+
+
+def test_pipeline_keeps_empty_texts_and_rows_without_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    same = " ".join(f"s{i}" for i in range(30))
+    bench = " ".join(f"bench{i}" for i in range(20))
+    rows = [(1, same), (2, same), (3, ""), (4, None), (5, "clean"), (None, ""), (None, "clean without an id"), (None, None), (6, bench), (None, "more " + bench)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    # a text that loses all its bytes goes, one that had none stays
+    cut = corpus_pipeline.cut_repeated_strings(spark, docs.where("doc_id != 6 or doc_id is null"), str(tmp_path))
+    assert cut.columns == docs.columns
+    assert texts(cut) == sorted([r for r in rows if r[0] not in (2, 6)], key=repr)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in cut.collect())
+    last = sorted((r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=repr)
+    assert last == sorted([1, 3, 4, 5, None, None, None], key=repr)
