@@ -42,10 +42,8 @@ ROUNDS = 2
 PRIOR = 1000.0
 #: The end of a text among the words' fingerprints.
 END = np.uint64(1)
-#: Words of more bytes are scored one at a time.
+#: Words of more bytes are scored and learned from one at a time.
 WIDE = 48
-#: Bytes of the longest piece.
-REACH = 16
 
 
 @lru_cache(2)
@@ -59,7 +57,7 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], np.ndarray]:
         if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
             piece = sp.id_to_piece(i).replace("▁", " ").encode()
             low = bytes(LOWER[np.frombuffer(piece, np.uint8)])
-            if low == piece and b" " not in piece[1:] and 1 < len(piece) <= REACH:
+            if low == piece and b" " not in piece[1:] and len(piece) > 1:
                 found.append((-sp.get_score(i), piece))
     out = {bytes([b]): b for b in range(256)}
     for _, piece in sorted(found):
@@ -76,6 +74,7 @@ class Lattice:
     def __init__(self, pieces: dict[bytes, int], q: np.ndarray):
         self.pieces, self.logq = pieces, np.log(q)
         names = list(pieces)
+        self.reach = max(map(len, names))
         buf = np.frombuffer(b"".join(names), np.uint8)
         ends = np.cumsum([len(n) for n in names])
         h = spans(sums(buf), ends - [len(n) for n in names], ends)
@@ -105,7 +104,7 @@ class Lattice:
         row = np.arange(len(n)) * width
         for t in range(1, width + 1):
             live = np.flatnonzero(n + 1 >= t)
-            yield t, live, [(k, self.find(spans(prefix, row[live] + t - k, row[live] + t)) if k > 1 else text[live, t - 1].astype(np.int64)) for k in range(1, min(t, REACH) + 1)]
+            yield t, live, [(k, self.find(spans(prefix, row[live] + t - k, row[live] + t)) if k > 1 else text[live, t - 1].astype(np.int64)) for k in range(1, min(t, self.reach) + 1)]
 
     def forward(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Natural log of the marginal probability of each word."""
@@ -129,9 +128,12 @@ class Lattice:
         return out
 
     def expected(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected number of each piece in the words, each `counts` times (words up to WIDE bytes)."""
+        """Expected number of each piece in the words, each `counts` times."""
         total = np.zeros(len(self.logq))
         n = ends - starts
+        for i in np.flatnonzero((n > WIDE) & (counts > 0)):
+            ids, share = self.one_expected(buf[starts[i] : ends[i]])
+            np.add.at(total, ids, counts[i] * share)
         some = np.flatnonzero((n <= WIDE) & (counts > 0))
         some = some[np.argsort(n[some], kind="stable")]
         for z in range(0, len(some), 20_000):
@@ -157,12 +159,41 @@ class Lattice:
                 beta[rows, t - k] = np.logaddexp(beta[rows, t - k], arc)
         return total
 
+    def one_expected(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The arcs of a single word of any length: their pieces and how often each is expected."""
+        text = np.concatenate([np.array([0x20], np.uint8), word])
+        n, prefix, at = len(text), sums(text), np.arange(len(text))
+        begins, ends, pieces = [at], [at + 1], [text.astype(np.int64)]
+        for k in range(2, min(n, self.reach) + 1):
+            ids = self.find(spans(prefix, at[: n - k + 1], at[: n - k + 1] + k))
+            ok = np.flatnonzero(ids >= 0)
+            begins.append(ok)
+            ends.append(ok + k)
+            pieces.append(ids[ok])
+        a, z, ids = np.concatenate(begins), np.concatenate(ends), np.concatenate(pieces)
+        logq = self.logq[ids]
+
+        def recursion(of: np.ndarray, other: np.ndarray) -> np.ndarray:
+            """From 0 at position 0: the log sum at each position `of` over the arcs from `other`."""
+            order = np.argsort(of, kind="stable")
+            first = np.searchsorted(of[order], np.arange(n + 2)).tolist()
+            start, log, out = other[order].tolist(), logq[order].tolist(), [0.0] * (n + 1)
+            for t in range(1, n + 1):
+                terms = [out[start[x]] + log[x] for x in range(first[t], first[t + 1])]
+                top = max(terms)
+                out[t] = top + math.log(sum(math.exp(x - top) for x in terms))
+            return np.array(out)
+
+        alpha = recursion(z, a)
+        beta = recursion(n - a, n - z)[::-1]
+        return ids, np.exp(alpha[a] + logq + beta[z] - alpha[n])
+
     def one(self, word: bytes) -> float:
         """The forward recursion for a single word of any length."""
         text = b" " + word
         alpha = [0.0]
         for t in range(1, len(text) + 1):
-            terms = [alpha[t - k] + self.logq[i] for k in range(1, min(t, REACH) + 1) if (i := self.pieces.get(text[t - k : t])) is not None]
+            terms = [alpha[t - k] + self.logq[i] for k in range(1, min(t, self.reach) + 1) if (i := self.pieces.get(text[t - k : t])) is not None]
             top = max(terms)
             alpha.append(top + math.log(sum(math.exp(x - top) for x in terms)))
         return alpha[-1]

@@ -1,5 +1,8 @@
 """Rows, texts and words that the operators once left out."""
 
+import numpy as np
+import pytest
+
 import public_tokenizers
 from routeloom.llm import common, decontam, jaccard, lattice, suffixes
 
@@ -60,6 +63,28 @@ def test_items_without_an_id_are_found(spark):
     assert sorted(((r.doc_id, r.item_id, r.n_words) for r in decontam.matches(d, b).collect()), key=repr) == [(1, "4", 20), (1, None, 20), (2, None, 20)]
 
 
+# ---------------------------------------------------------------- wide words and long pieces
+
+
+def test_wide_words_and_long_pieces_count(monkeypatch):
+    pieces, q = lattice.vocabulary(PIECES)
+    long = [p for p in pieces if len(p) > 16]
+    assert len(long) == 20
+    model = lattice.Lattice(pieces, q)
+    words = [long[0].strip(), "日本語のテキスト".encode() * 9, b"https://example.org/" + b"some-long-path/" * 20, b"the", b"x" * 49]
+    ends = np.cumsum([len(w) for w in words])
+    starts, buf = ends - [len(w) for w in words], np.frombuffer(b"".join(words), np.uint8)
+    counts = np.array([1.0, 2.0, 1.0, 3.0, 0.0])
+    got = model.expected(buf, starts, ends, counts)
+    assert got[pieces[long[0]]] > 0
+    # every byte of a word, and the space before it, lies in one piece of a segmentation
+    assert sum(got[i] * len(p) for p, i in pieces.items()) == pytest.approx(sum(c * (len(w) + 1) for c, w in zip(counts, words, strict=True)))
+    # equal to the words all at once
+    logs = model.forward(buf, starts, ends)
+    monkeypatch.setattr(lattice, "WIDE", 10_000)
+    assert np.allclose(got, model.expected(buf, starts, ends, counts)) and np.allclose(logs, model.forward(buf, starts, ends))
+
+
 # ---------------------------------------------------------------- the pipeline's stages
 
 
