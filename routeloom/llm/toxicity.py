@@ -1,7 +1,8 @@
 """Operator 9: toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-A text is lower-cased and folded (accents, look-alike digits and signs) to a small alphabet; its units are the words
-without punctuation at their ends (where some stands inside also without it), runs of three or more single letters joined, and, of units over LONG letters,
+A text is lower-cased and folded (accents, look-alike digits and signs) to a small alphabet, letters of other scripts by
+their code point to one of its 26 letters; its units are the words
+without punctuation at their ends (where some stands inside also without it, whatever their length), runs of three or more single letters joined, and, of units over LONG letters,
 overlapping windows.  The kernel of two units counts their common subsequences of three letters, each occurrence weighed
 by DECAY to the power of the letters it skips (SPAN letters from first to last at most), divided by a norm of both
 lengths.  An insult with inserted letters or gaps keeps most of its subsequences, and so does a new ending of a known stem.
@@ -21,8 +22,10 @@ rows of both labels every text gets the share of toxic rows; empty tables give e
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ DECAY = 0.7
 SPAN = 7
 LONG = 24
 THRESHOLD = 0.3
-#: Classes: 0 ends a unit, 1..26 letters, 27 other digits, 28 inner punctuation, 29 other characters.
+#: Classes: 0 ends a unit, 1..26 letters (of any script), 27 other digits, 28 inner punctuation, 29 other characters.
 KINDS = 30
 
 _CLASS = np.full(256, 28, np.uint8)
@@ -52,6 +55,28 @@ for _a, _b in zip("013457$@", "oieastsa", strict=True):
 _ACCENT = np.full(256, 29, np.uint8)
 for _i in range(0xC0, 0x100):
     _ACCENT[_i - 0x40] = ord("aaaaaaaceeeeiiiidnooooo.ouuuuytsaaaaaaaceeeeiiiidnooooo.ouuuuyty"[_i - 0xC0]) - 96 if chr(_i) not in "×÷" else 28
+
+
+@cache
+def _other_classes() -> np.ndarray:
+    """By code point the classes of what is neither ASCII nor in U+0080..U+00FF."""
+    out = np.full(0x110000, 29, np.uint8)
+    for i in range(0x100, 0x20000):
+        c = chr(i)
+        kind = unicodedata.category(c)
+        if kind == "Nd":
+            out[i] = 27
+        elif kind[0] == "L" or kind[0] == "M" and i > 0x36F:
+            low = c.lower()[0]
+            parts = unicodedata.normalize("NFKD", low)
+            if all(unicodedata.combining(x) for x in parts[1:]):
+                low = parts[0].lower()
+            out[i] = ord(low) - 96 if "a" <= low <= "z" else ord(low) % 26 + 1
+    han = np.arange(0x20000, 0x40000)  # planes of ideographs
+    out[han] = han % 26 + 1
+    return out
+
+
 _OFFSETS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 
 
@@ -74,6 +99,15 @@ def folded(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     after = np.zeros(len(buf), bool)
     after[1:] = lead[:-1]
     c[after] = _ACCENT[buf[after]]
+    wide = np.flatnonzero(buf >= 0xC4)
+    if len(wide):
+        size = 2 + (buf[wide] >= 0xE0) + (buf[wide] >= 0xF0).astype(np.int64)
+        point = buf[wide] & (0x7F >> size)
+        point = point.astype(np.int64)
+        for k in range(1, 4):
+            more = size > k
+            point[more] = point[more] << 6 | buf[wide[more] + k] & 0x3F
+        c[wide] = _other_classes()[point]
     keep = ~lead & ~((buf >= 0x80) & (buf < 0xC0) & ~after)
     place = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(keep, out=place[1:])
@@ -126,7 +160,7 @@ def units_of(buf: np.ndarray, off: np.ndarray) -> Units:
     extra, s2, e2, r2, b2, total = [c], [], [], [], [], len(c)
     signs = np.zeros(len(c) + 1, np.int64)
     np.cumsum(c == 28, out=signs[1:])
-    for i in np.flatnonzero((signs[ends] > signs[starts]) & (size <= 4 * LONG)):
+    for i in np.flatnonzero(signs[ends] > signs[starts]):
         own = c[starts[i] : ends[i]]
         own = own[own != 28]
         extra += [own, np.zeros(1, np.uint8)]

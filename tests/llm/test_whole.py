@@ -1,10 +1,11 @@
 """Rows, texts and words that the operators once left out."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import public_tokenizers
-from routeloom.llm import common, decontam, jaccard, lattice, suffixes
+from routeloom.llm import common, decontam, jaccard, lattice, suffixes, toxicity
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -85,6 +86,27 @@ def test_wide_words_and_long_pieces_count(monkeypatch):
     assert np.allclose(got, model.expected(buf, starts, ends, counts)) and np.allclose(logs, model.forward(buf, starts, ends))
 
 
+# ---------------------------------------------------------------- units of any length and script
+
+
+def units(text):
+    u = toxicity.units_of(*common.text_bytes(pa.array([text], pa.string())))
+    return [u.cls[s:e].tobytes() for s, e in zip(u.starts, u.ends, strict=True)]
+
+
+def test_signs_go_from_units_of_any_length():
+    insult = units("blorgfuk")[0]
+    for n in (0, 20, 100, 3000):
+        assert any(insult in u for u in units("q" * n + "b-l-o-r-g-f-u-k" + "z" * n)), n
+
+
+def test_words_of_other_scripts_differ():
+    for words in (["дурак", "добро", "слово", "книга"], ["κακός", "καλός", "λόγος"], ["馬鹿", "日本", "学校"], ["바보", "학교", "나라"]):
+        assert len({tuple(units(w)) for w in words}) == len(words), words
+    assert units("ДУРАК") == units("дурак") and units("ĀŠ") == units("as") and units("ｆｕｌｌ") == units("full") and units("ё") == units("е")
+    assert units("“x”") == [bytes([29, 24, 29])] and units("naïve 😀") == [*units("naive"), b"\x1d"] and units("٣") == [b"\x1b"]
+
+
 # ---------------------------------------------------------------- the pipeline's stages
 
 
