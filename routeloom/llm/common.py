@@ -1,11 +1,12 @@
 """Shared pieces: storage for intermediate tables, byte-level numpy kernels over Arrow text, packed blocks.
 
-Text is handled as UTF-8 bytes.  A null text is an empty one.  No function here looks at a prefix of a text.
+Text is handled as UTF-8 bytes.  A null text is an empty one.  Texts are read whole.
 """
 
 from __future__ import annotations
 
 import gc
+import hashlib
 import math
 import tempfile
 import uuid
@@ -26,14 +27,27 @@ PASS_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, local runs) a new temporary folder becomes it."""
+    """The folder of spark.checkpoint.dir; where it is unset, a folder of the warehouse on a cluster, and a temporary one in local runs."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        found = f"{spark.conf.get('spark.sql.warehouse.dir')}/_routeloom"
     if not found:
         found = getattr(spark, "_routeloom_dir", None) or tempfile.mkdtemp(prefix="routeloom-")
         spark._routeloom_dir = found
     return found.rstrip("/")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names that no column has (in any case), made by lengthening those given."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read again: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -157,6 +171,18 @@ def spans(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mixed((prefix[ends] - prefix[starts]) * back[starts] + np.asarray(ends - starts, np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+#: Words of more bytes are hashed one by one: sums modulo 2 ** 64 can be made to collide on long strings.
+LONG_WORD = 256
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of words of any length."""
+    out = spans(sums(buf), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def grams(words: np.ndarray, n: int) -> np.ndarray:
     """Fingerprints of n consecutive word fingerprints, at each start (len - n + 1 of them; rows are not looked at)."""
     if len(words) < n:
@@ -209,8 +235,8 @@ def unpacked_sorted(b: bytes, dtype=np.uint64) -> np.ndarray:
 KEY = "__key"
 
 
-def row_keys(docs: DataFrame, id_col: str, text_col: str, target: int = 8 << 20) -> tuple[DataFrame, dict]:
-    """docs with the column KEY: the id, and for each row without one a number of its own above all ids.
+def row_keys(docs: DataFrame, id_col: str, text_col: str, target: int = 8 << 20, name: str = KEY) -> tuple[DataFrame, dict]:
+    """docs with the column `name`: the id, and for each row without one a number of its own above all ids.
 
     The latter are dealt into buckets of about `target` text bytes by a hash of the text and numbered in the order of its
     MD5, so that every run gives a text the same numbers (rows of one text may swap theirs).
@@ -221,19 +247,20 @@ def row_keys(docs: DataFrame, id_col: str, text_col: str, target: int = 8 << 20)
     s = docs.agg(F.count("*").alias("rows"), size(F.octet_length(text)).alias("bytes"), F.max(key).alias("top"), F.count_if(key.isNull()).alias("lone"), size(F.when(key.isNull(), F.octet_length(text))).alias("lone_bytes")).first()
     out = {"bytes": int(s["bytes"]), "rows": int(s["rows"]), "none": None}
     if not s["lone"]:
-        return docs.withColumn(KEY, key), out
+        return docs.withColumn(name, key), out
     out["none"] = 0 if s["top"] is None else s["top"] + 1
     if out["none"] + s["lone"] > 1 << 63:
         raise ValueError(f"no numbers above the ids of {id_col} are left for the rows without one")
     bucket = F.pmod(F.xxhash64(text), F.lit(max(1, math.ceil(s["lone_bytes"] / target))))
-    lone = docs.where(key.isNull()).withColumn("__bucket", bucket)
+    (b,) = fresh([*docs.columns, name], "__bucket")
+    lone = docs.where(key.isNull()).withColumn(b, bucket)
     start, starts = out["none"] - 1, []
-    for r in lone.groupBy("__bucket").count().orderBy("__bucket").collect():  # one number a bucket
-        starts += [F.lit(r["__bucket"]), F.lit(start).cast("long")]
-        start += r["count"]
-    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(F.md5(text.cast("binary"))))
-    lone = lone.withColumn(KEY, F.element_at(F.create_map(*starts), F.col("__bucket")) + place).drop("__bucket")
-    return docs.where(key.isNotNull()).withColumn(KEY, key).unionByName(lone), out
+    for r in lone.groupBy(F.col(b).alias("b")).agg(F.count("*").alias("c")).orderBy("b").collect():  # one number a bucket
+        starts += [F.lit(r["b"]), F.lit(start).cast("long")]
+        start += r["c"]
+    place = F.row_number().over(Window.partitionBy(b).orderBy(F.md5(text.cast("binary"))))
+    lone = lone.withColumn(name, F.element_at(F.create_map(*starts), F.col(b)) + place).drop(b)
+    return docs.where(key.isNotNull()).withColumn(name, key).unionByName(lone), out
 
 
 def own_id(key: Column, none: int | None) -> Column:
@@ -241,52 +268,72 @@ def own_id(key: Column, none: int | None) -> Column:
     return key if none is None else F.when(key < none, key)
 
 
-BLOCKS = "block int, n int, ids binary, lens binary, payload binary"
+BLOCKS = "block long, n int, ids binary, lens binary, payload binary"
+_BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("ids", pa.binary()), ("lens", pa.binary()), ("payload", pa.binary())])
 
 
-def pack_blocks(docs: DataFrame, id_col: str, text_col: str, name: str, target: int = 8 << 20, ranged: bool = False) -> tuple[DataFrame, dict]:
+def _packed_rows(block: int, ids: np.ndarray, texts: pa.Array) -> dict:
+    buf, off = text_bytes(texts)
+    return {"block": block, "n": len(ids), "ids": np.ascontiguousarray(ids.astype(np.int64)).tobytes(), "lens": packed(np.diff(off)), "payload": zstandard.ZstdCompressor(3).compress(buf.tobytes())}
+
+
+def pack_blocks(docs: DataFrame, id_col: str, text_col: str, name: str, target: int = 8 << 20) -> tuple[DataFrame, dict]:
     """Documents as stored blocks of about `target` text bytes: ids, byte lengths, and all texts as one zstd string.
 
-    ranged: blocks are ranges of ids (equal ids share a block), rows ordered by id, else they are dealt by a hash of the id.
-    Block borders by range come from quantiles of the id weighted by one row each (one number a block reaches the driver).
-    Rows without an id are documents of their own: ids holds the keys of row_keys().
+    Documents are dealt by a hash of the id.  Those without an id are documents of their own: ids holds the keys of row_keys().
     Returns the blocks and {"bytes", "rows", "blocks", "none"}, the last as row_keys() has it.
     """
-    spark = docs.sparkSession
     d, s = row_keys(docs, id_col, text_col, target)
     d = d.select(F.col(KEY).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = max(1, math.ceil(s["bytes"] / target))
-    if ranged:
-        cuts = d.approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 and s["rows"] else []
-        cuts = sorted({int(c) for c in cuts})
-        block = _range_of(F.col("id"), cuts).cast("int")
-        n = len(cuts) + 1
-    else:
-        block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    # small inputs are dealt finer, so that every core has blocks
+    n = max(1, math.ceil(s["bytes"] / target), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(s["bytes"] * 8 / target)))
 
     def pack(t: pa.Table) -> pa.Table:
-        ids = t.column("id").to_numpy(zero_copy_only=False)
-        order = np.argsort(ids, kind="stable") if ranged else np.arange(len(ids))
-        t = t.take(pa.array(order))
-        buf, off = text_bytes(t.column("text"))
-        return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": [np.ascontiguousarray(t.column("id").to_numpy(zero_copy_only=False).astype(np.int64)).tobytes()], "lens": [packed(np.diff(off))], "payload": [zstandard.ZstdCompressor(3).compress(buf.tobytes())]})
-
-    out = d.withColumn("block", block).groupBy("block").applyInArrow(pack, BLOCKS)
-    out = stored(out, name)
-    released(spark)
+        return pa.Table.from_pylist([_packed_rows(t.column("block")[0].as_py(), t.column("id").to_numpy(zero_copy_only=False), t.column("text"))], _BLOCK_SCHEMA)
+
+    out = stored(d.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n))).groupBy("block").applyInArrow(pack, BLOCKS), name)
+    released(docs.sparkSession)
     return out, s | {"blocks": n}
 
 
-def _range_of(x: Column, cuts: list[int]) -> Column:
-    """How many of the sorted cuts are <= x: first among every g-th of them, then among the g after it."""
-    if not cuts:
-        return F.lit(0)
-    g = math.isqrt(len(cuts) - 1) + 1
-    groups = [cuts[i : i + g] for i in range(0, len(cuts), g)]
-    heads = F.array(*[F.lit(c[0]) for c in groups])
-    coarse = F.size(F.filter(heads, lambda c: c <= x))
-    fine = F.size(F.filter(F.element_at(F.array(*[F.array(*[F.lit(v) for v in c]) for c in groups]), F.greatest(coarse, F.lit(1))), lambda c: c <= x))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * g + fine).cast("int")
+def range_blocks(docs: DataFrame, id_col: str, text_col: str, name: str, target: int = 8 << 20) -> tuple[DataFrame, dict]:
+    """As pack_blocks(), but a block holds consecutive ids in order, all rows of an id, and is named by its first one.
+
+    Spark's range partitioning deals the ids; a partition is cut into blocks as its sorted rows pass by.
+    """
+    d, s = row_keys(docs, id_col, text_col, target)
+    d = d.select(F.col(KEY).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
+
+        def block() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            ids = t.column(0).to_numpy()
+            return pa.RecordBatch.from_pylist([_packed_rows(int(ids[0]), ids, t.column(1))], _BLOCK_SCHEMA)
+
+        for b in batches:
+            ids, (_, off) = b.column(0).to_numpy(), text_bytes(b.column(1))
+            at = 0
+            while at < len(b):
+                # up to the first row beyond the target that begins another id
+                new = np.flatnonzero((np.diff(ids[at:], prepend=ids[at] if last is None else last) != 0) & (size + off[at:-1] - off[at] >= target))
+                end = at + int(new[0]) if len(new) else len(b)
+                if end > at:
+                    held.append(b.slice(at, end - at))
+                    size, last = size + int(off[end] - off[at]), int(ids[end - 1])
+                if len(new):
+                    yield block()
+                    held, size = [], 0
+                at = end
+        if held:
+            yield block()
+
+    parts = parts_of(docs.sparkSession, s["bytes"], 4 * target)
+    out = stored(d.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(pack, BLOCKS), name)
+    released(docs.sparkSession)
+    return out, s
 
 
 def unpack(ids: bytes, lens: bytes, payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
