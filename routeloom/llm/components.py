@@ -12,7 +12,7 @@ from .common import dropped, released, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id long, component long): the smallest id reachable, for every id that has an edge to another one."""
+    """(id long, component long), a stored table: the smallest id reachable, for every id that has an edge to another one."""
     spark = edges.sparkSession
     now = stored(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     before = None
@@ -30,5 +30,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         released(spark)
         now = after
         if mark == before:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+            out = stored(now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
+            dropped(now)
+            return out
         before = mark

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, batches_of, grams, spans, starts_within, sums, text_bytes, words_of
+from .common import ALNUM, LOWER, batches_of, grams, starts_within, text_bytes, word_hashes, words_of
 
 WINDOW = 13
 #: Benchmark text in one broadcast.
@@ -41,7 +41,7 @@ def row_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Fingerprints of all words in order, and the first word of each row."""
     low = LOWER[buf]
     starts, ends, first = words_of(low, off, ALNUM)
-    return spans(sums(low), starts, ends), first
+    return word_hashes(low, starts, ends), first
 
 
 class Windows:

@@ -8,18 +8,20 @@ Light sets (size up to a boundary) enumerate all subsets of the sizes that an in
 linked if and only if they share such a subset that is large enough for both sizes, so no pair needs another look, and a
 chain from the smallest member of each subset's list connects what is linked.  Heavy sets scan inverted lists of their
 rarest shingles: in one global order (how many documents hold a shingle, then its fingerprint) linked sets share a shingle
-within their first n - ceil(PERCENT * n / 100) + 1.  The boundary is the size at which enumerating all sets up to it
-costs least against the lengths of the lists that they would scan.
+within their first n - ceil(PERCENT * n / 100) + 1.  The boundary is the size at which the records cost least: the subsets
+of all sets up to it, against the entries of larger sets (and of those light ones that can link with them) in the lists
+and the lengths of the lists that the larger ones scan.
 
 Lists are scanned without forming all pairs of a list: first each list's members against its smallest one; after the
 links so found are joined to components, only members of different components of a list are still compared, by length
 and position first, then exactly on whole sets.  A pair that shares a list is thus compared or known to be connected.
+Components of a list meet by classes of size, each PERCENT of the next, so that a list of many sizes is split.
 
 How many documents hold a shingle is counted by parts of the fingerprint range: blocks of documents send their sorted
 distinct fingerprints (cut to as many bits as the corpus needs), and get the counts back in the same order.
 
 Null and empty texts have empty sets, are linked with nothing, and are components of their own; rows that repeat an id
-count as that id; rows without an id are documents of their own after all others (ids of their classes and components are
+count as that id, whose links are those of all its texts; rows without an id are documents of their own after all others (ids of their classes and components are
 null where no row has one); empty tables give empty results; other columns are not read.
 """
 
@@ -34,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, LOWER, NOT_SPACE, dropped, grams, mixed, own_id, pack_blocks, packed, packed_sorted, parts_of, passes, released, row_keys, spans, stored, sums, unpack, unpacked, unpacked_sorted, words_of
+from .common import LOWER, NOT_SPACE, dropped, fresh, grams, mixed, own_id, pack_blocks, packed, packed_sorted, parts_of, passes, released, row_keys, stored, unpack, unpacked, unpacked_sorted, word_hashes, words_of
 from .components import components
 
-#: Light sets are this large at most, whatever the costs (19 shingles have 191 subsets to enumerate).
-MOST_LIGHT = 19
+#: Bytes of sets that are compared with one set in a task.
+HELD = 8 << 20
 
 
 def need(n: int, percent: int) -> int:
@@ -52,7 +54,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
     for i, j in passes(off):
         part, o = LOWER[buf[off[i] : off[j]]], off[i : j + 1] - off[i]
         starts, ends, first = words_of(part, o, NOT_SPACE)
-        words = spans(sums(part), starts, ends)
+        words = word_hashes(part, starts, ends)
         whole = grams(words, k)
         for r in range(j - i):
             a, z = first[r], first[r + 1]
@@ -66,14 +68,17 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def set_bytes(s: np.ndarray) -> bytes:
-    """The upper 48 bits of each fingerprint, for exact comparison of two sets (a chance of 2**-48 a pair of shingles)."""
-    return np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+    """A set's fingerprints, for exact comparison of two sets."""
+    return np.ascontiguousarray(s).tobytes()
 
 
 def set_of(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+    return np.frombuffer(b, np.uint64)
+
+
+def subsets(n: int, percent: int) -> int:
+    """How many subsets a light set of n shingles enumerates."""
+    return sum(math.comb(n, g) for g in range(n - need(n, percent) + 1))
 
 
 def light_keys(s: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -95,9 +100,9 @@ def _signatures(blocks: DataFrame, k: int) -> DataFrame:
                 one = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 two = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 n = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, np.full(len(ids), r["block"], np.int32), n, one, two)], ["id", "block", "n", "one", "two"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, np.full(len(ids), r["block"], np.int64), n, one, two)], ["id", "block", "n", "one", "two"])
 
-    return blocks.mapInArrow(run, "id long, block int, n long, one long, two long")
+    return blocks.mapInArrow(run, "id long, block long, n long, one long, two long")
 
 
 def _cuts(parts: int, bits: int) -> np.ndarray:
@@ -121,7 +126,7 @@ def _counted(blocks: DataFrame, k: int, bits: int, parts: int) -> DataFrame:
                 names, counts, _ = _names(shingle_sets(buf, off, k), bits)
                 at = [0, *np.searchsorted(names, _cuts(parts, bits)).tolist(), len(names)]
                 rows = [(p, packed_sorted(names[at[p] : at[p + 1]]), packed(counts[at[p] : at[p + 1]].astype(np.uint32))) for p in range(parts) if at[p + 1] > at[p]]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([r["block"]] * len(rows), pa.int32()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.binary())], ["part", "block", "names", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([r["block"]] * len(rows), pa.int64()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.binary())], ["part", "block", "names", "counts"])
 
     def count(t: pa.Table) -> pa.Table:
         names = [unpacked_sorted(x) for x in t.column("names").to_pylist()]
@@ -135,7 +140,7 @@ def _counted(blocks: DataFrame, k: int, bits: int, parts: int) -> DataFrame:
         at = np.cumsum([0, *map(len, names)])
         return pa.table({"block": t.column("block"), "part": t.column("part"), "data": pa.array([packed(back[at[i] : at[i + 1]]) for i in range(len(names))], pa.binary())})
 
-    return blocks.mapInArrow(send, "part int, block int, names binary, counts binary").groupBy("part").applyInArrow(count, "block int, part int, data binary")
+    return blocks.mapInArrow(send, "part int, block long, names binary, counts binary").groupBy("part").applyInArrow(count, "block long, part int, data binary")
 
 
 def _candidates(blocks: DataFrame, told: DataFrame, k: int, bits: int, percent: int) -> DataFrame:
@@ -156,13 +161,14 @@ def _candidates(blocks: DataFrame, told: DataFrame, k: int, bits: int, percent:
             seen = set()
             for i in np.flatnonzero(wanted):
                 s = sets[i]
-                if not len(s) or int(ids[i]) in seen:
+                mark = (int(ids[i]), int(s.sum(dtype=np.uint64)))
+                if not len(s) or mark in seen:
                     continue
-                seen.add(int(ids[i]))
+                seen.add(mark)
                 own = df[place[at[i] : at[i + 1]]]
                 order = np.lexsort((s, own))[: len(s) - need(len(s), percent) + 1]
                 pos = np.flatnonzero(own[order] > 1)
-                if len(pos) or len(s) <= MOST_LIGHT:
+                if len(pos):  # a set without a shared shingle there has no link
                     out["id"].append(int(ids[i]))
                     out["n"].append(len(s))
                     out["tokens"].append(s[order[pos]].view(np.int64))
@@ -174,19 +180,25 @@ def _candidates(blocks: DataFrame, told: DataFrame, k: int, bits: int, percent:
 
 
 def _verified(pairs: DataFrame, cands: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose whole sets pass."""
+    """Of the pairs (a, b) those whose whole sets pass; the partners of a set come in shares of about HELD bytes."""
     sets = cands.select("id", "set")
-    d = pairs.join(sets.withColumnRenamed("id", "b").withColumnRenamed("set", "y"), "b").join(sets.withColumnRenamed("id", "a").withColumnRenamed("set", "x"), "a").select("a", "b", "x", "y")
+    right = pairs.join(cands.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    shares = pairs.join(cands.select(F.col("id").alias("b"), F.col("n").alias("m")), "b").groupBy("a").agg(F.ceil(F.sum("m") * 8 / F.lit(HELD)).cast("int").alias("shares"))
+    left = sets.withColumnsRenamed({"id": "a", "set": "x"}).join(shares, "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    right = right.join(shares, "a").select("a", "b", "y", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
+    d = right.join(left, ["a", "share"]).select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, s = None, None
+        last, raw, s = None, None, None
         for b in batches:
             a, o = b.column(0).to_pylist(), b.column(1).to_pylist()
             ok = []
             for i in range(len(b)):
-                if a[i] != last:
-                    last, s = a[i], set_of(b.column(2)[i].as_py())
-                t = set_of(b.column(3)[i].as_py())
+                x = b.column(2)[i].as_buffer()
+                if a[i] != last or not x.equals(raw):
+                    last, raw = a[i], x
+                    s = set_of(x)
+                t = set_of(b.column(3)[i].as_buffer())
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 ok.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, y in zip(a, ok, strict=True) if y], pa.int64()), pa.array([x for x, y in zip(o, ok, strict=True) if y], pa.int64())], ["a", "b"])
@@ -201,13 +213,27 @@ def _may(percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * most >= percent * (n + m - most))
 
 
-def boundary(light: DataFrame, lists: DataFrame, percent: int) -> int:
-    """The largest light size: the least of (subsets of all sets up to it) + (lengths of the lists that larger ones scan)."""
-    subsets = {n: sum(math.comb(n, g) for g in range(n - need(n, percent) + 1)) for n in range(1, MOST_LIGHT + 1)}
-    sets = {r["n"]: r["c"] for r in light.groupBy("n").agg(F.count("*").alias("c")).collect()}
-    scans = {r["n"]: r["c"] for r in lists.where(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.sum("members").alias("c")).collect()}
-    cost = lambda x: sum(subsets[n] * c for n, c in sets.items() if n <= x) + sum(c for n, c in scans.items() if n > x)
-    return min(range(MOST_LIGHT + 1), key=cost)
+def boundary(cands: DataFrame, posts: DataFrame, percent: int) -> int:
+    """The largest light size: the least of the records of both halves (see above).
+
+    Sizes with more subsets than all lists have records can't be light, so that few sizes reach the driver.
+    """
+    lens = posts.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
+    scans = posts.join(lens, "token").groupBy("n").agg(F.sum("members").alias("scan"))
+    by_size = cands.groupBy("n").agg(F.count("*").alias("sets"), F.sum(F.size("tokens")).alias("posts")).join(scans, "n", "left").select("n", "sets", "posts", F.coalesce("scan", F.lit(0)).alias("scan"))
+    by_size = stored(by_size, "jaccard-sizes")
+    total = by_size.agg(F.sum(F.col("posts") + F.col("scan"))).first()[0] or 0
+    most = 0
+    while subsets(most + 1, percent) <= total:
+        most += 1
+    rows = by_size.where(F.col("n") <= most + 1).collect()
+    dropped(by_size)
+
+    def cost(x: int) -> int:
+        least = need(x + 1, percent)  # smaller sets link with no heavy one
+        return sum(subsets(r["n"], percent) * r["sets"] if r["n"] <= x else r["scan"] for r in rows) + sum(r["posts"] for r in rows if r["n"] >= least)
+
+    return min(range(most + 1), key=lambda x: (cost(x), -x))
 
 
 def _light_edges(cands: DataFrame, most: int, percent: int) -> DataFrame:
@@ -222,64 +248,79 @@ def _light_edges(cands: DataFrame, most: int, percent: int) -> DataFrame:
     return both.where((100 * F.col("size") >= percent * (F.col("n") + F.col("m") - F.col("size"))) & (F.col("a") != F.col("id"))).select("a", F.col("id").alias("b")).distinct()
 
 
-def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: (id_col, n_shingles long, class_id long - the smallest id of an equal set, component_id long)."""
+def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", light: int | None = None) -> DataFrame:
+    """One row a document: (id_col, n_shingles long, class_id long - the smallest id of an equal set, component_id long).
+
+    `light` sets the boundary in place of the costs.
+    """
     spark = docs.sparkSession
     blocks, size = pack_blocks(docs, id_col, text_col, "jaccard-blocks")
     bits = max(40, min(63, math.ceil(math.log2(size["bytes"] + 2)) + 10))
     parts = parts_of(spark, size["bytes"] / 6, 2 << 20)
     sigs = stored(_signatures(blocks, words), "jaccard-signatures")
     reps = sigs.where("n > 0").groupBy("one", "two", "n").agg(F.min(F.struct("id", "block")).alias("r")).select("one", "two", "n", F.col("r.id").alias("rep"), F.col("r.block").alias("block"))
-    told = stored(_counted(blocks, words, bits, parts), "jaccard-counts")
+    counts = stored(_counted(blocks, words, bits, parts), "jaccard-counts")
     released(spark)
 
     def ids(t: pa.Table) -> pa.Table:
         return pa.table({"block": t.column("block")[:1], "part": pa.array([-1], pa.int32()), "data": pa.array([np.ascontiguousarray(t.column("rep").to_numpy()).tobytes()], pa.binary())})
 
-    told = told.unionByName(reps.select("block", "rep").groupBy("block").applyInArrow(ids, "block int, part int, data binary"))
+    told = counts.unionByName(reps.select("block", "rep").groupBy("block").applyInArrow(ids, "block long, part int, data binary"))
     cands = stored(_candidates(blocks, told, words, bits, percent), "jaccard-candidates")
-    dropped(blocks)
+    dropped(blocks, counts)
     released(spark)
 
     posts = cands.select("id", "n", F.explode(F.arrays_zip("tokens", "pos")).alias("t")).select("id", "n", F.col("t.tokens").alias("token"), F.col("t.pos").alias("i"))
+    x = boundary(cands, posts, percent) if light is None else light
+    posts = posts.where(F.col("n") >= need(x + 1, percent))
     heads = posts.groupBy("token").agg(F.min(F.struct("id", "n", "i")).alias("p"), F.count("*").alias("members")).where("members > 1")
     lists = stored(posts.join(heads, "token"), "jaccard-lists")
-    x = boundary(cands.where(F.col("n") <= MOST_LIGHT).select("n"), lists.select("n", "members"), percent)
     edges = _light_edges(cands, x, percent)
+    # an id of several texts ties their classes
+    twice = sigs.where("n > 0").groupBy("id").agg(F.min("one").alias("lo"), F.max("one").alias("hi")).where("lo != hi")
+    edges = edges.unionByName(sigs.join(twice, "id", "left_semi").join(reps, ["one", "two", "n"]).select(F.col("rep").alias("a"), F.col("id").alias("b")))
 
     # each list's members against its smallest one (pairs of two light sets are done)
     heavy = F.greatest("n", "m") > x
     tried = lists.select("id", "n", "i", F.col("p.id").alias("a"), F.col("p.n").alias("m"), F.col("p.i").alias("j")).where((F.col("a") != F.col("id")) & heavy & _may(percent))
     tried = stored(tried.select("a", F.col("id").alias("b")).distinct(), "jaccard-tried")
     edges = stored(edges.unionByName(_verified(tried, cands, percent)), "jaccard-edges")
-    found = stored(components(edges), "jaccard-found")
+    found = components(edges)
 
     # members of different components of a list
     at = lists.select("token", "id", "n", "i").join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     mixed_lists = at.select("token", "c").distinct().groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    # a set of class s links with sets of the classes s - 1, s and s + 1 alone
+    at = at.withColumn("s", F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n").cast("int"))
     at = stored(at.join(mixed_lists, "token", "left_semi"), "jaccard-mixed")
-    near = at.groupBy("token", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("i")).alias("rest"), F.count("*").alias("size"))
-    other = near.select("token", *[F.col(k).alias(v) for k, v in (("c", "d"), ("lo", "lo2"), ("hi", "hi2"), ("rest", "rest2"), ("size", "size2"))])
+    near = at.groupBy("token", "s", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("i")).alias("rest"), F.count("*").alias("size"))
+    other = near.select("token", *[F.col(k).alias(v) for k, v in (("s", "s2"), ("c", "d"), ("lo", "lo2"), ("hi", "hi2"), ("rest", "rest2"), ("size", "size2"))])
+    other = other.withColumn("s", F.explode(F.array(F.col("s2"), F.col("s2") - 1)))  # a pair meets at its smaller class
     may = (100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo")) & ((100 + percent) * F.least("rest", "rest2") >= percent * (F.col("lo") + F.col("lo2")))
-    meet = near.join(other, "token").where((F.col("c") < F.col("d")) & may & (F.greatest("hi", "hi2") > x))
+    once = (F.col("s") < F.col("s2")) | (F.col("c") < F.col("d"))
+    meet = near.join(other, ["token", "s"]).where((F.col("c") != F.col("d")) & once & may & (F.greatest("hi", "hi2") > x))
     # the members of the smaller component are spread out, and meet those of the larger one under the filters
     first = F.col("size") <= F.col("size2")
-    meet = meet.select("token", F.when(first, F.col("c")).otherwise(F.col("d")).alias("c"), F.when(first, F.col("d")).otherwise(F.col("c")).alias("d"))
-    left = at.join(meet, ["token", "c"]).select("token", "d", F.col("id").alias("a"), "n", "i")
-    right = at.select(F.col("token").alias("token2"), F.col("c").alias("d2"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))
-    pairs = left.join(right, (F.col("token") == F.col("token2")) & (F.col("d") == F.col("d2")) & heavy & _may(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    meet = meet.select("token", F.when(first, F.struct("c", "s")).otherwise(F.struct(F.col("d").alias("c"), F.col("s2").alias("s"))).alias("u"), F.when(first, F.struct(F.col("d").alias("c"), F.col("s2").alias("s"))).otherwise(F.struct("c", "s")).alias("v"))
+    meet = meet.select("token", F.col("u.c").alias("c"), F.col("u.s").alias("s"), F.col("v.c").alias("d"), F.col("v.s").alias("r"))
+    left = at.join(meet, ["token", "c", "s"]).select("token", "d", "r", F.col("id").alias("a"), "n", "i")
+    right = at.select(F.col("token").alias("token2"), F.col("c").alias("d2"), F.col("s").alias("r2"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))
+    pairs = left.join(right, (F.col("token") == F.col("token2")) & (F.col("d") == F.col("d2")) & (F.col("r") == F.col("r2")) & heavy & _may(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "jaccard-pairs")
-    more = _verified(pairs, cands, percent)
-    final = components(more.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    final = components(_verified(pairs, cands, percent).unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
     classes = reps.select("one", "two", "n", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("one", "two", "n", F.col("rep"), F.coalesce("component", "rep").alias("component"))
-    out = sigs.join(classes, ["one", "two", "n"], "left")
     own = lambda c: own_id(c, size["none"])
-    return out.select(own(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), own(F.coalesce("rep", "id")).alias("class_id"), own(F.coalesce("component", "id")).alias("component_id"))
+    out = sigs.join(classes, ["one", "two", "n"], "left").select(own(F.col("id")).alias("id"), F.col("n").alias("n_shingles"), own(F.coalesce("rep", "id")).alias("class_id"), own(F.coalesce("component", "id")).alias("component_id"))
+    out = stored(out, "jaccard-result")
+    dropped(sigs, cands, lists, tried, edges, found, at, pairs, final)
+    released(spark)
+    return out.withColumnRenamed("id", id_col)
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that have the smallest id of their component, with their columns as they were; one of a component without ids."""
-    own, _ = row_keys(docs, id_col, text_col)
-    first = join(own, words, percent, KEY, text_col).where(F.col(KEY) == F.col("component_id")).select(F.col(KEY).alias("__first")).distinct()
-    return own.join(first, own[KEY] == first["__first"], "left_semi").select(*docs.columns)
+    key, first = fresh(docs.columns, "__key", "__first")
+    own, _ = row_keys(docs, id_col, text_col, name=key)
+    kept = join(own, words, percent, key, text_col).where(F.col(key) == F.col("component_id")).select(F.col(key).alias(first)).distinct()
+    return own.join(kept, own[key] == kept[first], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, own_id, pack_blocks, packed, packed_sorted, parts_of, passes, released, spans, stored, sums, unpack, unpacked, unpacked_sorted, words_of
+from .common import LOWER, NOT_SPACE, own_id, pack_blocks, packed, packed_sorted, parts_of, passes, released, spans, stored, sums, unpack, unpacked, unpacked_sorted, word_hashes, words_of
 
 #: Passes that fit the pieces' probabilities.
 ROUNDS = 2
@@ -205,7 +205,7 @@ def _words(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     for i, j in passes(off):
         part, o = LOWER[buf[off[i] : off[j]]], off[i : j + 1] - off[i]
         starts, ends, first = words_of(part, o, NOT_SPACE)
-        h = spans(sums(part), starts, ends)
+        h = word_hashes(part, starts, ends)
         h[h == END] = np.uint64(2)
         yield ids[i:j], part, starts, ends, first, h
 
@@ -259,7 +259,7 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
                 own = [p for p in range(parts) if at[p + 1] > at[p]]
                 text = [_joined(words[at[p] : at[p + 1]]) for p in own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.int32()), pa.array([r["block"]] * len(own), pa.int32()), *(pa.array(x, pa.binary()) for x in ([packed_sorted(h[at[p] : at[p + 1]]) for p in own], [packed(c[at[p] : at[p + 1]].astype(np.uint32)) for p in own], [t[0] for t in text], [t[1] for t in text]))],
+                    [pa.array(own, pa.int32()), pa.array([r["block"]] * len(own), pa.int64()), *(pa.array(x, pa.binary()) for x in ([packed_sorted(h[at[p] : at[p + 1]]) for p in own], [packed(c[at[p] : at[p + 1]].astype(np.uint32)) for p in own], [t[0] for t in text], [t[1] for t in text]))],
                     ["part", "block", "names", "counts", "words", "lens"],
                 )
 
@@ -281,9 +281,9 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
         blob, lens = _joined(words)
         rows = t.num_rows
         empty = [b""] * rows
-        return pa.table({"part": pa.array([t.column("part")[0].as_py()] * (rows + 1), pa.int32()), "block": pa.concat_arrays([pa.array([-1], pa.int32()), t.column("block").combine_chunks()]), "data": pa.array([packed(c), *(packed(inv[at[k] : at[k + 1]].astype(np.uint32)) for k in range(rows))], pa.binary()), "words": pa.array([blob, *empty], pa.binary()), "lens": pa.array([lens, *empty], pa.binary()), "n": pa.array([int(c.sum()), *[0] * rows], pa.int64()), "v": pa.array([int((c > 0).sum()), *[0] * rows], pa.int64())})
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()] * (rows + 1), pa.int32()), "block": pa.concat_arrays([pa.array([-1], pa.int64()), t.column("block").combine_chunks()]), "data": pa.array([packed(c), *(packed(inv[at[k] : at[k + 1]].astype(np.uint32)) for k in range(rows))], pa.binary()), "words": pa.array([blob, *empty], pa.binary()), "lens": pa.array([lens, *empty], pa.binary()), "n": pa.array([int(c.sum()), *[0] * rows], pa.int64()), "v": pa.array([int((c > 0).sum()), *[0] * rows], pa.int64())})
 
-    table = stored(blocks.mapInArrow(send, "part int, block int, names binary, counts binary, words binary, lens binary").groupBy("part").applyInArrow(add, "part int, block int, data binary, words binary, lens binary, n long, v long"), "lattice-words")
+    table = stored(blocks.mapInArrow(send, "part int, block long, names binary, counts binary, words binary, lens binary").groupBy("part").applyInArrow(add, "part int, block long, data binary, words binary, lens binary, n long, v long"), "lattice-words")
     released(spark)
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     n, v = int(total["n"]), int(total["v"])
@@ -327,9 +327,9 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
             ten = np.where(ok, np.logaddexp(np.log(c), math.log(weight) + log) - math.log(n + weight), np.log((c + 1) / (n + 1 * (v + 1)))) / math.log(10)
         others = [r for r in rows if r["block"] >= 0]
         place = [unpacked(r["data"], np.uint32) for r in others]
-        return pa.table({"block": pa.array([r["block"] for r in others], pa.int32()), "part": pa.array([r["part"] for r in others], pa.int32()), "counts": pa.array([packed(c[x]) for x in place], pa.binary()), "logs": pa.array([packed(ten[x]) for x in place], pa.binary())})
+        return pa.table({"block": pa.array([r["block"] for r in others], pa.int64()), "part": pa.array([r["part"] for r in others], pa.int32()), "counts": pa.array([packed(c[x]) for x in place], pa.binary()), "logs": pa.array([packed(ten[x]) for x in place], pa.binary())})
 
-    told = stored(table.groupBy("part").applyInArrow(answer, "block int, part int, counts binary, logs binary"), "lattice-answers")
+    told = stored(table.groupBy("part").applyInArrow(answer, "block long, part int, counts binary, logs binary"), "lattice-answers")
     released(spark)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
