@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,18 +23,40 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     return F.struct(lo.alias("lo"), F.coalesce(high, F.lit(1.0)).alias("hi"))
 
 
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series, for arguments above some thousands."""
+    return (x - 0.5) * F.log(x) - x + 0.5 * F.log(F.lit(2 * math.pi)) + 1 / (12 * x) - 1 / (360 * x * x * x)
+
+
+#: Smaller discordant counts up to this one are summed from their first term.
+FEW = 20_000
+
+
 def mcnemar_p(b: Column, c: Column) -> Column:
-    """The exact two-sided McNemar p-value, by a recurrence over log terms that large counts don't underflow."""
+    """The exact two-sided McNemar p-value: twice the binomial tail up to the smaller count, summed in log space.
+
+    Beyond FEW terms the sum runs downward from the largest one, which Stirling's series gives, over 9 * sqrt(n) terms;
+    what is left out is below e**-160 of it.
+    """
     n, m = (b + c).cast("double"), F.least(b, c).cast("long")
     first = n * F.log(F.lit(0.5))
-    zero = F.struct(first.alias("t"), F.exp(first).alias("s"))
 
-    def step(a: Column, i: Column) -> Column:
+    def up(a: Column, i: Column) -> Column:
         t = a["t"] + F.log((n - i + 1) / i)
         return F.struct(t.alias("t"), (a["s"] + F.exp(t)).alias("s"))
 
-    total = F.aggregate(F.when(m > 0, F.sequence(F.lit(1).cast("long"), m)).otherwise(F.array().cast("array<bigint>")), zero, step, lambda a: a["s"])
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total))
+    ids = F.when((m > 0) & (m <= FEW), F.sequence(F.lit(1).cast("long"), F.least(m, F.lit(FEW).cast("long")))).otherwise(F.array().cast("array<bigint>"))
+    few = F.aggregate(ids, F.struct(first.alias("t"), F.exp(first).alias("s")), up, lambda a: a["s"])
+    k = m.cast("double")
+    top = _log_gamma(n + 1) - _log_gamma(k + 1) - _log_gamma(n - k + 1) + first
+
+    def down(a: Column, i: Column) -> Column:
+        t = a["t"] * i / (n - i + 1)
+        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
+
+    reach = F.when(m > FEW, F.sequence(m, F.greatest(F.lit(1).cast("long"), m - (9 * F.sqrt(n)).cast("long")), F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    many = F.exp(top) * F.aggregate(reach, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), down, lambda a: a["s"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.when(m <= FEW, few).otherwise(many)))
 
 
 def proportion(k: Column, n: Column) -> Column:

@@ -1,8 +1,9 @@
 """Spherical K-means over a DataFrame of (ord long, v array<double>).
 
 All restarts go through one job an iteration: partitions send sums of their members by (restart, cluster), and the
-point farthest from each centroid for clusters that end up empty.  The driver holds restarts * k * d numbers.  Draws
-follow numpy's RandomState by the row order `ord`, so a seed gives the same start at any partitioning.
+point farthest from each centroid for clusters that end up empty.  The driver holds restarts * k * d numbers, and a few
+for each partition while starts are drawn.  Draws follow numpy's RandomState by the row order `ord`.  All sums are of
+integers (units of 2 ** -40), which no order changes, so a seed gives the same result at any partitioning and size.
 """
 
 from __future__ import annotations
@@ -19,6 +20,13 @@ from ..functions import vectors
 from ..settings import DEFAULT_SEED, N_CLUSTERS
 
 RESTARTS, MAX_ITER, TOLERANCE = 10, 100, 1e-6
+#: Rows of a partition, and units that sums are counted in.
+PART_ROWS = 50_000
+UNITS = float(1 << 40)
+
+
+def in_units(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * UNITS).astype(np.int64)
 
 
 @dataclass
@@ -37,7 +45,7 @@ class SphericalKMeans:
             raise ValueError(f"{shape['n']} rows are fewer than {self.k} clusters")
         if shape["lo"] != shape["hi"] or shape["lo"] < 1:
             raise ValueError("vectors must have one length")
-        parts = max(1, df.sparkSession.sparkContext.defaultParallelism) if shape["n"] > 20_000 else 1
+        parts = -(-shape["n"] // PART_ROWS)
         x = df.select("ord", vectors.unit(F.col("v")).alias("v")).repartitionByRange(parts, "ord").sortWithinPartitions("ord").withColumn("part", F.spark_partition_id()).persist()
         try:
             starts = self._starts(x, shape["n"])
@@ -57,6 +65,17 @@ class SphericalKMeans:
             raise RuntimeError("not fitted")
         return vectors.nearest(vectors.unit(v), self.centroids)
 
+    def predict_one(self, x: list[float] | np.ndarray) -> int:
+        """The index of the centroid nearest to a single vector."""
+        if self.centroids is None:
+            raise RuntimeError("not fitted")
+        v = np.asarray(x, np.float64)
+        if v.ndim != 1:
+            raise ValueError("one vector is wanted")
+        if not np.linalg.norm(v) > 0:
+            raise ValueError("zero-norm or NaN vector")
+        return int((np.array(self.centroids) @ v).argmax())
+
     def _starts(self, x: DataFrame, n: int) -> np.ndarray:
         rngs = [np.random.RandomState(self.seed + r) for r in range(self.restarts)]
         first = [int(g.randint(0, n)) for g in rngs]
@@ -67,38 +86,43 @@ class SphericalKMeans:
             c = np.array(chosen)  # restarts, so far, d
 
             def weights(v: np.ndarray, c=c) -> np.ndarray:
-                return np.stack([np.maximum(0.0, 1.0 - (v @ c[r].T).max(1)) ** 2 for r in range(len(c))], 1)
+                return np.stack([in_units(np.maximum(0.0, 1.0 - (v @ c[r].T).max(1)) ** 2) for r in range(len(c))], 1)
 
             def sums(batches: Iterator[pd.DataFrame], weights=weights) -> Iterator[pd.DataFrame]:
+                total: dict[int, np.ndarray] = {}
                 for b in batches:
-                    w = weights(np.array(b["v"].tolist()))
-                    yield pd.DataFrame({"part": b["part"].iloc[0], "first": b["rank"].iloc[0], "n": len(b), "w": [w.sum(0).tolist()]})
-
-            parts = sorted(rank.mapInPandas(sums, "part int, first long, n long, w array<double>").collect(), key=lambda p: p["first"])
-            w = np.array([p["w"] for p in parts])
-            total = w.sum(0)
-            u = np.array([g.random_sample() for g in rngs])
-            picks = []
-            for r in range(self.restarts):
-                if total[r] > 0:
-                    before = np.concatenate([[0.0], np.cumsum(w[:, r])])
-                    p = min(int(np.searchsorted(before[1:], u[r] * total[r], "right")), len(parts) - 1)
-                    picks.append((r, p, float(u[r] * total[r] - before[p])))
-                else:
-                    picks.append((r, -1, float(min(n - 1, int(u[r] * n)))))
-            wanted = {p: [(r, t) for r, q, t in picks if q == p] for p in {q for _, q, _ in picks if q >= 0}}
-            spans_ = {p: (parts[p]["first"], parts[p]["n"]) for p in wanted}
-
-            def locate(batches: Iterator[pd.DataFrame], wanted=wanted, spans_=spans_, weights=weights) -> Iterator[pd.DataFrame]:
-                by_first = {a: p for p, (a, _) in spans_.items()}
+                    for part, own in b.groupby("part"):
+                        total[part] = total.get(part, 0) + weights(np.array(own["v"].tolist())).sum(0)
+                yield pd.DataFrame({"part": list(total), "w": [w.tolist() for w in total.values()]})
+
+            parts = sorted(rank.mapInPandas(sums, "part int, w array<long>").collect(), key=lambda p: p["part"])  # ranges of ord, in order
+            before = [[0] * self.restarts]
+            for p in parts:
+                before.append([a + b for a, b in zip(before[-1], p["w"], strict=True)])
+            found, wanted = {}, {}
+            for r, g in enumerate(rngs):
+                u = g.random_sample()
+                if not before[-1][r]:  # all rows are starts already
+                    found[r] = min(n - 1, int(u * n))
+                    continue
+                t = min(int(u * before[-1][r]), before[-1][r] - 1)
+                i = next(i for i in range(len(parts)) if t < before[i + 1][r])
+                wanted.setdefault(parts[i]["part"], []).append((r, t - before[i][r]))
+
+            def locate(batches: Iterator[pd.DataFrame], wanted=wanted, weights=weights) -> Iterator[pd.DataFrame]:
+                passed: dict[int, np.ndarray] = {}
                 for b in batches:
-                    p = by_first.get(b["rank"].iloc[0])
-                    if p is not None:
-                        cum = np.cumsum(weights(np.array(b["v"].tolist())), 0)
-                        yield pd.DataFrame([(r, int(b["rank"].iloc[min(int(np.searchsorted(cum[:, r], t, "right")), len(b) - 1)])) for r, t in wanted[p]], columns=["r", "rank"])
-
-            found = {x["r"]: x["rank"] for x in rank.mapInPandas(locate, "r int, rank long").collect()}
-            found |= {r: int(t) for r, q, t in picks if q < 0}
+                    for part, own in b.groupby("part"):  # rows of a part come in the order of ord
+                        w = weights(np.array(own["v"].tolist()))
+                        before = passed.get(part, np.zeros(w.shape[1], np.int64))
+                        cum = before + np.cumsum(w, 0)
+                        passed[part] = cum[-1]
+                        here = [(r, int(own["rank"].iloc[int(np.searchsorted(cum[:, r], t, "right"))])) for r, t in wanted[part] if before[r] <= t < cum[-1, r]]
+                        if here:
+                            yield pd.DataFrame(here, columns=["r", "rank"])
+
+            if wanted:
+                found |= {x["r"]: x["rank"] for x in rank.where(F.col("part").isin(list(wanted))).mapInPandas(locate, "r int, rank long").collect()}
             rows = self._by_rank(rank, list(found.values()))
             for r in range(self.restarts):
                 chosen[r].append(rows[found[r]])
@@ -152,12 +176,12 @@ def lloyd_partials(x: DataFrame, centroids: np.ndarray) -> dict[tuple[int, int],
                 for j in range(len(c)):
                     m = label == j
                     w = np.lexsort((o, s[:, j]))[0]
-                    out.append((r, j, v[m].sum(0).tolist(), int(m.sum()), float(s[w, j]), int(o[w]), v[w].tolist()))
+                    out.append((r, j, in_units(v[m]).sum(0).tolist(), int(m.sum()), float(s[w, j]), int(o[w]), v[w].tolist()))
             yield pd.DataFrame(out, columns=["r", "j", "s", "n", "low", "at", "worst"])
 
-    p = x.mapInPandas(partial, "r int, j int, s array<double>, n long, low double, at long, worst array<double>")
+    p = x.mapInPandas(partial, "r int, j int, s array<long>, n long, low double, at long, worst array<double>")
     length = F.max(F.size("s"))
-    sums = p.select("r", "j", F.posexplode("s").alias("pos", "x")).groupBy("r", "j", "pos").agg(F.sum("x").alias("x")).groupBy("r", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda z: z["x"]).alias("s"))
+    sums = p.select("r", "j", F.posexplode("s").alias("pos", "x")).groupBy("r", "j", "pos").agg((F.sum(F.col("x").cast("decimal(38,0)")).cast("double") / F.lit(UNITS)).alias("x")).groupBy("r", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda z: z["x"]).alias("s"))
     rest = p.groupBy("r", "j").agg(F.sum("n").alias("n"), F.min_by("worst", F.struct("low", "at")).alias("worst"), length.alias("d"))
     return {(q["r"], q["j"]): (np.array(q["s"]), q["n"], np.array(q["worst"])) for q in sums.join(rest, ["r", "j"]).collect()}
 
@@ -168,9 +192,9 @@ def total_similarity(x: DataFrame, centroids: np.ndarray) -> list[float]:
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             v = np.array(b["v"].tolist())
-            yield pd.DataFrame([(r, float((v @ c.T).max(1).sum())) for r, c in enumerate(centroids)], columns=["r", "s"])
+            yield pd.DataFrame([(r, int(in_units((v @ c.T).max(1)).sum())) for r, c in enumerate(centroids)], columns=["r", "s"])
 
-    got = {q["r"]: q["s"] for q in x.mapInPandas(partial, "r int, s double").groupBy("r").agg(F.sum("s").alias("s")).collect()}
+    got = {q["r"]: q["s"] for q in x.mapInPandas(partial, "r int, s long").groupBy("r").agg((F.sum(F.col("s").cast("decimal(38,0)")).cast("double") / F.lit(UNITS)).alias("s")).collect()}
     return [got[r] for r in range(len(centroids))]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import importlib.util
 import json
 import time
@@ -14,8 +15,6 @@ from pyspark.sql import functions as F
 
 from ..settings import MOCK_RESPONSE, MODELS, NUMERIC_SUFFIX, ROLES, SYSTEM_PROMPTS, generation_kwargs, resolve_dtype
 
-CACHE = "key string, response string"
-
 
 def query_text(question: Column, verifier: Column) -> Column:
     """Numeric questions ask for a box."""
@@ -39,34 +38,77 @@ class Generator:
     is_mock: bool = False
 
     def describe(self) -> dict:
-        return {} if self.is_mock else {"device": self.device, "dtype": resolve_dtype(self.device or "cpu", self.dtype)}
+        """Where and with what it runs; versions and threads where the libraries are installed."""
+        if self.is_mock:
+            return {}
+        try:
+            import torch
+            import transformers
+        except ImportError:
+            return {"device": self.device}
+        on_gpu = self.device == "cuda" and torch.cuda.is_available()
+        return {"device": self.device, "dtype": resolve_dtype(self.device or "cpu", self.dtype), "torch": torch.__version__, "transformers": transformers.__version__, "num_threads": torch.get_num_threads(), "cuda_name": torch.cuda.get_device_name(0) if on_gpu else None}
 
 
 def mock_response(role: str) -> str:
     return MOCK_RESPONSE.format(role=role)
 
 
-def _transformers(model_id: str, role: str, device: str, dtype: str | None):
-    def load():
-        import torch
-        from transformers import AutoModelForCausalLM, AutoTokenizer
+#: Prompts that a model answers at once.
+PROMPTS = 8
+
 
-        tokenizer = AutoTokenizer.from_pretrained(model_id)
-        model = AutoModelForCausalLM.from_pretrained(model_id, torch_dtype=getattr(torch, resolve_dtype(device, dtype))).to(device).eval()
+class ChatModel:
+    """A chat model in the process that answers: loaded at the first call, let go by unload()."""
 
-        def answer(queries: list[str]) -> list[tuple[str, int | None]]:
-            out = []
-            for q in queries:
-                text = tokenizer.apply_chat_template([{"role": "system", "content": SYSTEM_PROMPTS[role]}, {"role": "user", "content": q}], tokenize=False, add_generation_prompt=True)
-                x = tokenizer([text], return_tensors="pt").to(device)
-                with torch.inference_mode():
-                    new = model.generate(**x, **generation_kwargs(role))[0][x["input_ids"].shape[1] :]
-                out.append((tokenizer.decode(new, skip_special_tokens=True).strip(), len(new)))
-            return out
+    def __init__(self, model_id: str, role: str, device: str, dtype: str | None):
+        self.model_id, self.role, self.device, self.dtype = model_id, role, device, dtype
+        self.model = self.tokenizer = None
 
-        return answer
+    def load(self) -> None:
+        if self.model is not None:
+            return
+        import torch
+        from transformers import AutoModelForCausalLM, AutoTokenizer
+
+        if self.device == "cuda" and not torch.cuda.is_available():
+            raise RuntimeError("this machine has no CUDA device; use --device cpu")
+        self.tokenizer = AutoTokenizer.from_pretrained(self.model_id, padding_side="left")
+        if self.tokenizer.pad_token_id is None:
+            self.tokenizer.pad_token = self.tokenizer.eos_token
+        kind = getattr(torch, resolve_dtype(self.device, self.dtype))
+        try:
+            model = AutoModelForCausalLM.from_pretrained(self.model_id, dtype=kind, low_cpu_mem_usage=True)
+        except TypeError:  # the parameter's name in older versions
+            model = AutoModelForCausalLM.from_pretrained(self.model_id, torch_dtype=kind, low_cpu_mem_usage=True)
+        self.model = model.to(self.device).eval()
+
+    def unload(self) -> None:
+        self.model = self.tokenizer = None
+        gc.collect()
+        if self.device == "cuda":
+            import torch
+
+            torch.cuda.empty_cache()
+
+    def __call__(self, queries: list[str]) -> list[tuple[str, int]]:
+        """(response, new tokens) of each query, PROMPTS of them at a time, shorter prompts padded on the left."""
+        self.load()
+        import torch
 
-    return load
+        system = {"role": "system", "content": SYSTEM_PROMPTS[self.role]}
+        pad, out = self.tokenizer.pad_token_id, []
+        for i in range(0, len(queries), PROMPTS):
+            prompts = [self.tokenizer.apply_chat_template([system, {"role": "user", "content": q}], tokenize=False, add_generation_prompt=True) for q in queries[i : i + PROMPTS]]
+            x = self.tokenizer(prompts, return_tensors="pt", padding=True).to(self.device)
+            with torch.inference_mode():
+                made = self.model.generate(**x, **generation_kwargs(self.role), pad_token_id=pad)
+            for row in made[:, x["input_ids"].shape[1] :]:
+                ids = row.tolist()
+                while ids and ids[-1] == pad:  # behind the shorter answers of a batch
+                    ids.pop()
+                out.append((self.tokenizer.decode(ids, skip_special_tokens=True).strip(), len(ids)))
+        return out
 
 
 def generator(backend: str, model_id: str, role: str, scale: str, is_mock: bool, device: str = "cpu", dtype: str | None = None) -> Generator:
@@ -84,7 +126,7 @@ def generator(backend: str, model_id: str, role: str, scale: str, is_mock: bool,
 
         return Generator("OllamaRunner", model_id, role, device, dtype, missing)
     if backend == "huggingface":
-        return Generator("HuggingFaceRunner", model_id, role, device, dtype, _transformers(model_id, role, device, dtype))
+        return Generator("HuggingFaceRunner", model_id, role, device, dtype, lambda: ChatModel(model_id, role, device, dtype))
     raise ValueError(f"unknown backend: {backend}")
 
 
@@ -92,13 +134,13 @@ def generators(backend: str, scale: str, is_mock: bool, device: str = "cpu") ->
     return {r: generator(backend, MODELS[scale][r], r, scale, is_mock, device) for r in ROLES}
 
 
-def missing_dependency(backend: str, is_mock: bool) -> str | None:
-    """Why a run can't start, or None."""
+def missing_dependency(backend: str, is_mock: bool, more: tuple[str, ...] = ()) -> str | None:
+    """Why a run can't start, or None; `more` names libraries that the run needs besides the backend's."""
     if is_mock:
         return None
     if backend == "ollama":
         return "The ollama backend is not implemented. Use --backend huggingface."
-    for name in ("torch", "transformers"):
+    for name in ("torch", "transformers", *more):
         if importlib.util.find_spec(name) is None:
             return f"Missing dependency: No module named '{name}'."
     return None
@@ -144,12 +186,16 @@ def generate(todo: DataFrame, g: Generator) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         answer = None
-        for b in batches:
-            answer = answer or g.respond()
-            t = time.perf_counter()
-            got = answer(b["query"].tolist())
-            each = (time.perf_counter() - t) / max(1, len(b))
-            yield pd.DataFrame({"key": b["key"], "response": [x for x, _ in got], "seconds": each, "new_tokens": pd.array([n for _, n in got], "Int64")})
+        try:
+            for b in batches:
+                answer = answer or g.respond()
+                t = time.perf_counter()
+                got = answer(b["query"].tolist())
+                each = (time.perf_counter() - t) / max(1, len(b))
+                yield pd.DataFrame({"key": b["key"], "response": [x for x, _ in got], "seconds": each, "new_tokens": pd.array([n for _, n in got], "Int64")})
+        finally:
+            if hasattr(answer, "unload"):
+                answer.unload()
 
     return todo.where(F.col("role") == g.role).select("key", "query").mapInPandas(run, "key string, response string, seconds double, new_tokens long")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, stats, vectors
 from ..operators import cluster, generate, metrics, router
-from ..settings import NUMERIC_SUFFIX, ROLES, SYSTEM_PROMPTS, generation_kwargs
+from ..settings import NUMERIC_SUFFIX, ROLES, SYSTEM_PROMPTS
 from ..sources import files, items
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,20 +273,20 @@ def lines(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"), F.col("l_extendedprice").alias("x"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN l_quantity::BIGINT WHEN 1 THEN l_quantity::BIGINT / 4.0::DOUBLE ELSE (l_quantity::BIGINT * 1000)::DOUBLE END AS value FROM lineitem WHERE l_linenumber <= 3")
+@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN l_quantity::BIGINT WHEN 1 THEN l_quantity::BIGINT / 4.0::DOUBLE ELSE (l_quantity::BIGINT * 1000)::DOUBLE END AS value FROM lineitem")
 def q_boxed_number(spark, d):
     """Numbers in boxes: plain with a sign of percent, as a fraction, with commas; a second box wins over the first."""
     q = F.col("q").cast("string")
     box = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("$"), q, F.lit("\\%"))).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("\\dfrac{"), q, F.lit("}{4}"))).otherwise(F.concat(q, F.lit(",000")))
     text = F.concat(F.lit("first \\boxed{1}, then 7 and \\boxed{"), F.replace(box, F.lit("\\%"), F.lit("%")), F.lit("}. Done 99"))
-    return lines(spark, d).where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", answers.number(text).alias("value"))
+    return lines(spark, d).select("l_orderkey", "l_linenumber", answers.number(text).alias("value"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 2 + l_quantity::BIGINT * 3.0::DOUBLE WHEN 2 THEN pow(l_quantity::BIGINT, 2) WHEN 3 THEN floor(-l_quantity::BIGINT / 4.0) ELSE NULL END::DOUBLE AS value FROM lineitem WHERE l_linenumber <= 4")
+@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 2 + l_quantity::BIGINT * 3.0::DOUBLE WHEN 2 THEN pow(l_quantity::BIGINT, 2) WHEN 3 THEN floor(-l_quantity::BIGINT / 4.0) ELSE NULL END::DOUBLE AS value FROM lineitem")
 def q_safe_arith(spark, d):
     q = F.col("q").cast("string")
     e = F.when(F.col("l_linenumber") == 1, F.concat(F.lit("2 + "), q, F.lit(" * 3"))).when(F.col("l_linenumber") == 2, F.concat(q, F.lit("**2"))).when(F.col("l_linenumber") == 3, F.concat(F.lit("-"), q, F.lit(" // 4"))).otherwise(F.concat(F.lit("__import__('os') + "), q))
-    return lines(spark, d).where("l_linenumber <= 4").select("l_orderkey", "l_linenumber", answers.safe_arithmetic(e).alias("value"))
+    return lines(spark, d).select("l_orderkey", "l_linenumber", answers.safe_arithmetic(e).alias("value"))
 
 
 @query("SELECT l_orderkey, l_linenumber, abs(x - y) <= greatest(0.001 * greatest(abs(x), abs(y)), 0.000001) AS near FROM (SELECT l_orderkey, l_linenumber, l_extendedprice AS x, l_extendedprice * (1 + l_linenumber * 0.0003::DOUBLE) AS y FROM lineitem)")
@@ -303,14 +304,15 @@ def q_mcq_letter(spark, d):
     return p.select("p_partkey", answers.letter(text).alias("letter"))
 
 
-@query("SELECT n_nationkey, n_nationkey % 4 = 0 AS passed, CASE n_nationkey % 4 WHEN 2 THEN 'no code block' WHEN 3 THEN 'execution failed: sentinel not reached' ELSE '' END AS error FROM nation")
+@query("SELECT n_nationkey, n_nationkey % 4 = 0 AS passed, CASE n_nationkey % 4 WHEN 1 THEN 'AssertionError' WHEN 2 THEN 'no code block' WHEN 3 THEN 'execution failed: sentinel not reached' ELSE '' END AS error FROM nation")
 def q_python_exec(spark, d):
     """Code that is right, wrong, missing, and ends early; each of the four runs once."""
     k = F.col("n_nationkey") % 4
     code = F.when(k == 0, "```python\ndef f(x):\n    return x + 1\n```").when(k == 1, "```\ndef f(x): return x\n```").when(k == 2, "def f(x): return x + 1").otherwise("```py\nimport os\nos._exit(0)\n```")
     n = table(spark, d, "nation").select("n_nationkey", code.alias("r"), F.lit("assert f(1) == 2").alias("t"))
     e = answers.executed(n, "r", "t")
-    return e.select("n_nationkey", "exec.passed", F.when(F.col("n_nationkey") % 4 == 1, "").otherwise(F.col("exec.error")).alias("error"))
+    last = F.element_at(F.split(F.trim(F.regexp_replace("exec.error", r"\s+\z", "")), "\n"), -1)  # of a traceback
+    return e.select("n_nationkey", "exec.passed", last.alias("error"))
 
 
 @query("SELECT s_suppkey, (s_suppkey % 2 = 0)::INT::DOUBLE AS score FROM supplier")
@@ -359,19 +361,33 @@ def q_prompt_join(spark, d):
     return x.select("id", "role", F.col("chat")[0]["content"].alias("system"), F.col("chat")[1]["content"].alias("question"))
 
 
-def _key_sql() -> str:
-    import json
+#: What a key is the digest of, up to the query, by role.
+_HEADS = {
+    "general": '["MockRunner", "Qwen/Qwen2.5-1.5B-Instruct", "general", "You are a helpful assistant. Answer the question concisely and accurately. For factual questions, give a short direct answer.", {"do_sample": false, "max_new_tokens": 256, "repetition_penalty": 1.05}, null, null, ',
+    "math": '["MockRunner", "Qwen/Qwen2.5-Math-1.5B-Instruct", "math", "Please reason step by step, and put your final answer within \\\\boxed{}.", {"do_sample": false, "max_new_tokens": 512, "repetition_penalty": 1.05}, null, null, ',
+    "code": '["MockRunner", "Qwen/Qwen2.5-Coder-1.5B-Instruct", "code", "You are an expert Python programmer. Return ONLY a Python code block with no explanation, no markdown prose outside the code block.", {"do_sample": false, "max_new_tokens": 256, "repetition_penalty": 1.05}, null, null, ',
+}
+_HEAD_SQL = " ".join(f"WHEN '{r}' THEN '{h}'" for r, h in _HEADS.items())
 
-    g = generate.generators("huggingface", "1.5b", True)["math"]
-    head = json.dumps([g.kind, g.model_id, g.role, SYSTEM_PROMPTS["math"], generation_kwargs("math"), g.device, g.dtype], sort_keys=True, ensure_ascii=False)[:-1] + ", "
-    q = f"CASE WHEN item_id % 2 = 0 THEN text || '{_SFX}' ELSE text END"
-    return f"SELECT item_id::VARCHAR AS id, sha256('{head.replace(chr(39), chr(39) * 2)}' || to_json({q})::VARCHAR || ']') AS key FROM benchmark"
 
-
-@query(_key_sql())
+@query(f"SELECT item_id::VARCHAR AS id, role, sha256(CASE role {_HEAD_SQL} END || to_json(CASE WHEN item_id % 2 = 0 THEN text || '{_SFX}' ELSE text END)::VARCHAR || ']') AS key FROM benchmark CROSS JOIN (SELECT unnest(['general', 'math', 'code']) AS role)")
 def q_cache_key(spark, d):
-    r = generate.requests(bench_items(spark, d), generate.generators("huggingface", "1.5b", True))
-    return r.where("role = 'math'").select("id", "key")
+    return generate.requests(bench_items(spark, d), generate.generators("huggingface", "1.5b", True)).select("id", "role", "key")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, or below the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/cache-{uuid.uuid4().hex}"
+
+
+@query("SELECT user_id || '/' || event_type AS key, CASE WHEN bool_or(event_id % 2 = 0) THEN 'second' ELSE 'first' END AS response FROM events GROUP BY 1")
+def q_cache_two_appends(spark, d):
+    """A cache written in two batches and read back: the second one's answers win."""
+    folder, e = scratch(spark), cache_rows(spark, d)
+    files.append_cache(e.withColumn("response", F.lit("first")), folder)
+    files.append_cache(e.where("event_id % 2 = 0").withColumn("response", F.lit("second")), folder)
+    return files.read_cache(spark, folder)
 
 
 def cache_rows(spark, d):
@@ -438,17 +454,19 @@ def q_disjoint_overlap(spark, d):
 
 
 @query(
-    """SELECT c_custkey AS ord, CASE c_custkey % 8 WHEN 0 THEN 6 WHEN 1 THEN 7 WHEN 2 THEN 10 WHEN 3 THEN 12 WHEN 4 THEN 13 WHEN 5 THEN 3 WHEN 6 THEN 11 END::INTEGER AS rule FROM customer WHERE c_custkey % 8 < 7"""
+    """SELECT c_custkey AS ord, unnest(CASE c_custkey % 14 WHEN 0 THEN [6] WHEN 1 THEN [7] WHEN 2 THEN [10] WHEN 3 THEN [12] WHEN 4 THEN [13] WHEN 5 THEN [3] WHEN 6 THEN [11] WHEN 7 THEN [2] WHEN 8 THEN [5] WHEN 9 THEN [8] WHEN 10 THEN [9]
+WHEN 11 THEN CASE WHEN c_custkey > (SELECT min(c_custkey) FROM customer WHERE c_custkey % 14 = 11) THEN [4] ELSE [] END WHEN 12 THEN [5, 9] ELSE [] END)::INTEGER AS rule FROM customer"""
 )
 def q_validation_violations(spark, d):
-    """One broken rule for seven of every eight items."""
-    k = F.col("c_custkey") % 8
-    ident = F.when(k == 5, "").otherwise(F.concat(F.lit('"id": '), F.col("c_custkey").cast("string"), F.lit(", ")))
+    """Rules 2 to 13 broken: one each by eleven of every fourteen items, two by a twelfth; the rest are right."""
+    k = F.col("c_custkey") % 14
+    ident = F.when(k == 5, "").when(k == 11, '"id": "same", ').otherwise(F.concat(F.lit('"id": '), F.col("c_custkey").cast("string"), F.lit(", ")))
     category = F.when(k == 0, "history").otherwise("math")
-    verifier = F.when(k == 1, "guess").when(k == 4, "mcq_letter").when(k == 6, "contains").otherwise("numeric")
-    answer = F.when(k == 2, "").when(k == 3, ', "answer": true').when(k == 4, ', "answer": "E"').when(k == 6, ', "answer": ["a", 1]').otherwise(', "answer": 1.5')
-    js = F.concat(F.lit("{"), ident, F.lit('"category": "'), category, F.lit('", "question": "q", "verifier": "'), verifier, F.lit('"'), answer, F.lit("}"))
-    raw = table(spark, d, "customer").select(F.col("c_custkey").alias("ord"), F.parse_json(js).alias("v"))
+    question = F.when(k.isin(8, 12), "").otherwise('"question": "q", ')
+    verifier = F.when(k == 1, "guess").when(k == 4, "mcq_letter").when(k == 6, "contains").when(k.isin(9, 10, 12), "python_exec").otherwise("numeric")
+    answer = F.when(k.isin(2, 9), "").when(k == 3, ', "answer": true').when(k == 4, ', "answer": "E"').when(k == 6, ', "answer": ["a", 1]').when(k == 10, ', "test_assertions": "  "').when(k == 12, ', "test_assertions": 7').otherwise(', "answer": 1.5')
+    js = F.concat(F.lit("{"), ident, F.lit('"category": "'), category, F.lit('", '), question, F.lit('"verifier": "'), verifier, F.lit('"'), answer, F.lit("}"))
+    raw = table(spark, d, "customer").select(F.col("c_custkey").alias("ord"), F.parse_json(F.when(k == 7, "[1]").otherwise(js)).alias("v"))
     return items.violations(raw).select("ord", "rule")
 
 

@@ -19,7 +19,7 @@ from ..functions import answers, vectors
 from ..operators import generate, metrics
 from ..operators.generate import Generator
 from ..operators.router import Router
-from ..settings import DEFAULT_SEED, MODELS, N_CLUSTERS, ROLES, SIZE_CONFOUND_NOTE, SUMMARY, SYSTEM_PROMPTS, generation_settings
+from ..settings import DEFAULT_SEED, EMBEDDING_MODEL, MODELS, N_CLUSTERS, ROLES, SIZE_CONFOUND_NOTE, SYSTEM_PROMPTS, generation_settings
 from ..sources import files, items
 
 
@@ -49,6 +49,13 @@ def run(spark: SparkSession, args: argparse.Namespace, make: Callable[..., dict[
     return 2
 
 
+def embedder(mock: bool, given=None):
+    """(embedder, its name): the one given, hashed words for mock runs, else the sentence model."""
+    if given:
+        return given, getattr(given, "__name__", "given")
+    return (vectors.hash_embed, "hash_embed") if mock else (vectors.sentence_embed(EMBEDDING_MODEL), EMBEDDING_MODEL)
+
+
 def _exists(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
@@ -71,7 +78,7 @@ def _run(spark: SparkSession, args: argparse.Namespace, make, embed) -> int:
         return 2
     val, test = items.limited(val, args.val_limit).persist(), items.limited(test, args.limit).persist()
     by_role = make(args.backend, args.scale, args.mock, args.device)
-    why = generate.missing_dependency(args.backend, args.mock)
+    why = generate.missing_dependency(args.backend, args.mock, () if embed else ("sentence_transformers",))
     if why:
         print(why, file=sys.stderr)
         return 2
@@ -97,8 +104,7 @@ def _run(spark: SparkSession, args: argparse.Namespace, make, embed) -> int:
     responses = req.join(answered, "key").persist()
     table = answers.scored(responses.join(tagged.withColumn("id", F.col("id").cast("string")).drop("ord", "question", "category"), ["split", "id"])).select("split", "ord", "id", "role", "score").persist()
 
-    how = embed or vectors.hash_embed
-    name = "hash_embed"
+    how, name = embedder(args.mock, embed)
     if args.skip_calibration:
         try:
             router = files.load_state(state, embed=how)
@@ -116,22 +122,34 @@ def _run(spark: SparkSession, args: argparse.Namespace, make, embed) -> int:
     m = metrics.compute(records)
     times = {r["role"]: {k: v for k, v in r.asDict().items() if k != "role"} for r in generate.timing(req, made).collect()}
     files.write_json(f"{folder}/metrics.json", m)
-    rows = records.select("ord", F.struct("id", "category", "question", "verifier").alias("item"), F.col("routed").alias("routed_specialist"), "scores", F.col("baseline").alias("baseline_score")).orderBy("ord")
-    files.write_json(f"{folder}/records.json", [{k: v for k, v in r.asDict(recursive=True).items() if k != "ord"} for r in rows.toLocalIterator()])
+    rows = records.select("ord", F.to_json(F.struct(F.struct("id", "category", "question", "verifier").alias("item"), F.col("routed").alias("routed_specialist"), "scores", F.col("baseline").alias("baseline_score")), {"ignoreNullFields": "false"}).alias("j")).orderBy("ord")
+    files.write_list(f"{folder}/records.json", (r["j"] for r in rows.toLocalIterator()))
     files.write_json(f"{folder}/calibration.json", summary)
-    nested: dict = {"val": {}, "test": {}}
-    for r in files.nested_generations(responses).orderBy("split", "ord").toLocalIterator():
-        nested[r["split"]][r["id"]] = r["responses"].asDict()
-    files.write_json(f"{folder}/generations.json", nested)
+    nested = files.nested_generations(responses)
+    files.write_maps(f"{folder}/generations.json", {split: ((r["id"], r["responses"].asDict()) for r in nested.where(F.col("split") == split).orderBy("ord").toLocalIterator()) for split in ("val", "test")})
     files.write_json(f"{folder}/timing.json", {r: times[r] for r in ROLES})
     files.write_json(f"{folder}/run_config.json", _config(args, by_role, name, val.count(), test.count()))
     made_n, cached_n = (sum(t[k] for t in times.values()) for k in ("n_generated", "n_cached"))
-    print(SUMMARY.format(scale=args.scale, benchmark=args.benchmark, mock=args.mock, routed=m["routed"]["acc"], baseline=m["baseline"]["acc"], delta=m["delta"], p=m["mcnemar"]["p"], oracle=m["oracle"]["acc"], counts=m["routing_counts"], made=made_n, cached=cached_n, folder=folder))
+    print(_summary(args, m, made_n, cached_n, folder))
     for d in (val, test, req, cache, todo, responses, table, records):
         d.unpersist()
     return 0
 
 
+def _summary(args: argparse.Namespace, m: dict, made: int, cached: int, folder: str) -> str:
+    """What a run prints at its end: its files hold the rest."""
+    ci = "{acc:.1%} ({k} of {n}, 95 % interval {ci_lo:.1%} to {ci_hi:.1%})"
+    lines = [
+        f"{args.benchmark} benchmark at scale {args.scale}{', mock answers' if args.mock else ''}: {m['n']} test items",
+        f"Routed accuracy {ci.format(**m['routed'])}",
+        f"General role alone {ci.format(**m['baseline'])}, routing gains {m['delta']:+.1%}, McNemar p = {m['mcnemar']['p']:.3g}",
+        f"Best role of each item {m['oracle']['acc']:.1%}",
+        "Routed to " + ", ".join(f"{r}: {n}" for r, n in m["routing_counts"].items()),
+        f"{made} answers made, {cached} from the cache; files in {folder}",
+    ]
+    return "\n".join(lines)
+
+
 def _config(args: argparse.Namespace, by_role: dict[str, Generator], embedding: str, n_val: int, n_test: int) -> dict:
     head = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, check=False)
     out = {

@@ -12,6 +12,21 @@ def records(spark, rows=ROWS):
     return d.select("ord", "category", "routed", F.create_map(F.lit("general"), "g", F.lit("math"), "m", F.lit("code"), "c").alias("scores"), F.col("g").alias("baseline"))
 
 
+def test_mcnemar_of_large_counts(spark):
+    """The sum from the largest term against the plain one, at counts on both sides of the border."""
+    from math import exp, lgamma, log
+
+    def plain(b, c):
+        n, m = b + c, min(b, c)
+        return min(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * log(2)) for i in range(m + 1)))
+
+    rows = [(20_000, 20_400), (20_001, 20_400), (30_000, 30_500), (50_000, 50_000), (10**9, 10**9 + 100_000)]
+    got = [r[0] for r in spark.createDataFrame(rows, "b long, c long").select(stats.mcnemar_p(F.col("b"), F.col("c"))).collect()]
+    for (b, c), p in zip(rows[:4], got, strict=False):
+        assert p == pytest.approx(plain(b, c), rel=1e-6)
+    assert got[4] == pytest.approx(0.02535, rel=1e-2)  # the normal limit
+
+
 def test_wilson(spark):
     d = spark.createDataFrame([(8, 10), (0, 0), (0, 10), (10, 10), (0, 9), (6, 9)], "k long, n long")
     got = [(r[0].lo, r[0].hi) for r in d.select(stats.wilson(F.col("k"), F.col("n"))).collect()]

@@ -92,3 +92,44 @@ def test_calibrate_route_save_load(spark, tmp_path):
         Router(embed=embed).calibrate(items.unionByName(items), lambda x: x)
     with pytest.raises(RuntimeError):
         files.save_state(Router(), str(tmp_path / "x.json"))
+
+
+def test_predict_one():
+    model = SphericalKMeans(centroids=np.eye(3).tolist())
+    assert model.predict_one([0.1, 2.0, 0.3]) == 1
+    for bad in ([[1.0, 0.0, 0.0]], [0.0, 0.0, 0.0]):
+        with pytest.raises(ValueError):
+            model.predict_one(bad)
+    with pytest.raises(RuntimeError):
+        SphericalKMeans().predict_one([1.0])
+
+
+def test_kmeans_is_the_same_at_any_partitioning(spark, monkeypatch):
+    from routeloom.operators import cluster
+
+    g = np.random.RandomState(7)
+    x = frame(spark, g.normal(0, 1, (400, 5)))
+    one = SphericalKMeans(k=6, restarts=3).fit(x).centroids
+    monkeypatch.setattr(cluster, "PART_ROWS", 60)
+    assert SphericalKMeans(k=6, restarts=3).fit(x.repartition(7)).centroids == one
+
+
+def test_kmeans_repairs_an_empty_cluster():
+    from routeloom.operators.cluster import SphericalKMeans as K
+
+    start = np.array([[[1.0, 0.0], [0.6, 0.8], [0.6, 0.8]]])
+    seen = []
+
+    def partials(x, c):
+        seen.append(c.copy())
+        return {(0, 0): (np.array([2.0, 0.0]), 2, np.array([0.0, 1.0])), (0, 1): (np.array([1.0, 1.0]), 2, np.array([1.0, 0.0])), (0, 2): (np.zeros(2), 0, np.array([1.0, 0.0]))}
+
+    from routeloom.operators import cluster
+
+    old = cluster.lloyd_partials, cluster.total_similarity
+    cluster.lloyd_partials, cluster.total_similarity = partials, lambda x, c: [0.0]
+    try:
+        out, _ = K(k=3, restarts=1)._iterate(None, start)
+    finally:
+        cluster.lloyd_partials, cluster.total_similarity = old
+    assert np.allclose(out[0], [[1, 0], [0.5**0.5, 0.5**0.5], [1, 0]])  # the row farthest from the empty cluster's old centroid

@@ -80,8 +80,111 @@ def test_cache(spark, tmp_path):
     folder = tmp_path / "cache"
     assert files.read_cache(spark, str(folder)).count() == 0
     files.append_cache(spark.createDataFrame([("k1", "a"), ("k2", "b")], "key string, response string"), str(folder))
-    (folder / "zz.json").write_text('{"key": "k1", "response": "later"}\n[1]\n{"key": "k3"')
-    assert dict(files.read_cache(spark, str(folder)).collect()) in ({"k1": "later", "k2": "b"}, {"k1": "a", "k2": "b"})
+    # files of other makers are older than all batches; their own last line wins
+    (folder / "zz.json").write_text('{"key": "k1", "response": "x"}\n[1]\n{"key": "k4", "response": "old"}\n{"key": "k4", "response": "new"}\n{"key": "k3"')
+    assert dict(files.read_cache(spark, f"file://{folder}").collect()) == {"k1": "a", "k2": "b", "k4": "new"}
+    for i in range(5):
+        files.append_cache(spark.createDataFrame([(f"k{k}", f"{i}") for k in range(1, 20)], "key string, response string").repartition(3), str(folder))
+        assert set(r["response"] for r in files.read_cache(spark, str(folder)).where("key != 'k4'").collect()) == {str(i)}
+    twice = spark.createDataFrame([("k1", "first"), ("k1", "last")], "key string, response string").coalesce(1)
+    files.append_cache(twice, str(folder))
+    assert files.read_cache(spark, str(folder)).where("key = 'k1'").first()["response"] == "last"
+
+
+def test_state_and_lists_by_uri(spark, tmp_path):
+    from routeloom.operators.router import Router
+
+    router = Router(centroids=[[1.0, 0.0]], matrix={0: {"general": 1.0}}, roles={0: "general"}, k=1)
+    files.save_state(router, f"file://{tmp_path}/deep/state.json")
+    assert files.load_state(f"file://{tmp_path}/deep/state.json").centroids == [[1.0, 0.0]]
+    with pytest.raises(FileNotFoundError):
+        files.load_state(f"file://{tmp_path}/none.json")
+    files.write_list(f"{tmp_path}/l.json", iter(['{"a": 1}', "2"]))
+    files.write_maps(f"{tmp_path}/m.json", {"val": iter([]), "test": iter([("é", {"x": None})])})
+    assert json.loads((tmp_path / "l.json").read_text()) == [{"a": 1}, 2]
+    assert json.loads((tmp_path / "m.json").read_text()) == {"val": {}, "test": {"é": {"x": None}}}
+
+
+def test_backends_and_embedders(monkeypatch):
+    from routeloom.functions import vectors
+    from routeloom.plans.run import embedder
+    from routeloom.settings import resolve_dtype
+
+    assert [resolve_dtype(*x) for x in (("cpu", None), ("cuda", None), ("cpu", "bfloat16"), ("cuda", "float32"))] == ["float32", "float16", "bfloat16", "float32"]
+    for bad in ({"device": "tpu"}, {"dtype": "int8"}):
+        with pytest.raises(ValueError):
+            generate.generator("huggingface", "m", "math", "1.5b", False, **bad)
+    for backend, role in (("other", "math"), ("huggingface", "poet")):
+        with pytest.raises(ValueError):
+            generate.generator(backend, "m", role, "1.5b", False)
+    with pytest.raises(NotImplementedError):
+        generate.generator("ollama", "m", "math", "1.5b", False).respond()
+    assert generate.generator("huggingface", "m", "math", "1.5b", True).describe() == {}
+    assert generate.generator("huggingface", "m", "math", "1.5b", False).describe()["device"] == "cpu"
+    assert embedder(True) == (vectors.hash_embed, "hash_embed") and embedder(False)[0] is not vectors.hash_embed
+    assert "temperature" not in generation_kwargs("math") and generation_kwargs("math")["max_new_tokens"] == 512
+
+
+def test_chat_model_with_stand_in_libraries(monkeypatch):
+    """Batches, padding and decoding, against libraries that answer with the prompt's length."""
+    import contextlib
+    import sys
+    import types
+
+    class Row(list):
+        def tolist(self):
+            return list(self)
+
+    class Tensor:
+        def __init__(self, rows):
+            self.rows = rows
+            self.shape = (len(rows), len(rows[0]))
+
+        def __getitem__(self, at):
+            return [Row(r[at[1]]) for r in self.rows]
+
+    class Batch(dict):
+        def to(self, device):
+            return self
+
+    class Tokenizer:
+        pad_token_id, eos_token = None, "<end>"
+
+        def __setattr__(self, name, value):
+            object.__setattr__(self, name, value)
+            if name == "pad_token":
+                object.__setattr__(self, "pad_token_id", 0)
+
+        def apply_chat_template(self, messages, **_):
+            return messages[1]["content"]
+
+        def __call__(self, prompts, **_):
+            n = max(map(len, prompts))
+            return Batch(input_ids=Tensor([[0] * (n - len(p)) + [9] * len(p) for p in prompts]))
+
+        def decode(self, ids, **_):
+            return " " + "".join(map(str, ids)) + " "
+
+    class Model:
+        def to(self, device):
+            return self
+
+        def eval(self):
+            return self
+
+        def generate(self, input_ids, pad_token_id, **_):
+            made = [[r.count(9), 5] if r.count(9) > 1 else [1] for r in input_ids.rows]
+            return Tensor([r + m + [pad_token_id] * (2 - len(m)) for r, m in zip(input_ids.rows, made, strict=True)])
+
+    torch = types.SimpleNamespace(float32=1, inference_mode=contextlib.nullcontext, cuda=types.SimpleNamespace(is_available=lambda: False))
+    monkeypatch.setitem(sys.modules, "torch", torch)
+    monkeypatch.setitem(sys.modules, "transformers", types.SimpleNamespace(AutoTokenizer=types.SimpleNamespace(from_pretrained=lambda *a, **k: Tokenizer()), AutoModelForCausalLM=types.SimpleNamespace(from_pretrained=lambda *a, **k: Model())))
+    m = generate.ChatModel("m", "math", "cpu", None)
+    assert m(["a", "bbb"] + ["cc"] * 9) == [("1", 1), ("35", 2)] + [("25", 2)] * 9
+    m.unload()
+    assert m.model is None
+    with pytest.raises(RuntimeError):
+        generate.ChatModel("m", "math", "cuda", None).load()
 
 
 def test_key_is_the_digest_of_its_inputs(spark):
