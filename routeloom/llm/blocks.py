@@ -2,7 +2,8 @@
 
 A page becomes its sequence of leaf blocks: the text between block-level tags, without head, scripts, styles, forms'
 controls and comments; inline tags and line breaks don't end a block.  Each block has a vector of its tag path (hashed
-names, classes and ids of the open tags), its hashed words, and a few measures (length, share of link text, depth).
+names, classes and ids of the open tags), the hashed counts of all its words, and a few measures (length, share of link
+text, depth).
 A bidirectional LSTM in numpy reads the whole sequence and labels every block; the blocks of the main text are joined.
 
 The labeller is trained here on pages that a seeded generator writes (layouts of navigation, headers, notices, adverts,
@@ -27,20 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .markup import RAW, VOID, Hidden, tokens
+
 #: Buckets of path names and of words.
 PATHS, WORDS, MEASURES = 96, 16, 6
 HIDDEN = 24
 #: Pages that the model is trained on, and rounds over them.
-TRAIN_PAGES, ROUNDS = 900, 4
+TRAIN_PAGES, ROUNDS = 1400, 5
 #: Block vectors that one forward pass holds.
 HELD = 60_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|select|svg|iframe|object|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)([^>]*)>|<[!?][^>]*>|<[a-zA-Z/!][^>]*\Z", re.S | re.I)
+_HIDDEN = frozenset("noscript template select svg object button".split())
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that end an open one of the same kind.
 _SAME = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -49,6 +51,11 @@ def _bucket(s: str, n: int) -> int:
     return zlib.crc32(s.encode()) % n
 
 
+@lru_cache(100_000)
+def _word_bucket(s: str) -> int:
+    return _bucket(s, WORDS)
+
+
 @lru_cache(50_000)
 def _path_bits(name: str, attrs: str) -> tuple[int, ...]:
     out = [_bucket("<" + name, PATHS)]
@@ -65,7 +72,7 @@ def leaves(page: str) -> tuple[list[str], np.ndarray]:
     path: tuple[int, ...] = ()
     parts: list[str] = []
     linked = total = anchors = 0
-    at = 0
+    hidden = Hidden(_HIDDEN)
 
     def flush() -> None:
         nonlocal linked, total
@@ -84,47 +91,47 @@ def leaves(page: str) -> tuple[list[str], np.ndarray]:
             total += len(s)
             linked += len(s) if anchors else 0
 
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        name = m[3]
+    for text, name, closing, attrs in tokens(page):
+        if not hidden.open:
+            add(text)
         if name is None:
-            if m[1]:
-                parts.append(" ")
             continue
-        name = name.lower()
+        if name in RAW and not hidden.open or hidden.passed(name, closing, attrs, [t[0] for t in stack]):
+            parts.append(" ")
+            continue
         if name in _INLINE:
             if name == "a":
-                anchors = 0 if m[2] else 1
+                anchors = 0 if closing else 1
             elif name == "br":
                 parts.append(" ")
             continue
         flush()
         anchors = 0
-        if m[2]:
+        if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
                     break
-        elif name not in _VOID:
+        elif name not in VOID:
             ends = _SAME.get(name)
             if ends and stack and stack[-1][0] in ends:
                 stack.pop()
                 if name == "tr" and stack and stack[-1][0] == "tr":
                     stack.pop()
-            stack.append((name, _path_bits(name, m[4])))
+            stack.append((name, _path_bits(name, attrs)))
         path = tuple(b for _, bits in stack for b in bits)
-    add(page[at:])
     flush()
     x = np.zeros((len(texts), PATHS + WORDS + MEASURES), np.float32)
     for i, (bits, share, depth, last) in enumerate(rows):
         for b in bits:
             x[i, b] = 1.0
         t = texts[i]
-        w = t.split(None, 40)
-        for s in w[:40]:
-            x[i, PATHS + _bucket(s.lower(), WORDS)] += 0.1
-        x[i, PATHS + WORDS :] = (min(len(t), 2000) / 500, share, depth / 10, 1.0 if t[-1] in ".!?\"'”»…" else 0.0, min(len(w), 40) / 20, 1.0 if last[:1] == "h" and last[1:].isdigit() else 0.0)
+        w = t.lower().split()
+        held = [0] * WORDS
+        for k in w:
+            held[_word_bucket(k)] += 1
+        x[i, PATHS : PATHS + WORDS] = [c / (c + 10) for c in held]
+        x[i, PATHS + WORDS :] = (4 * len(t) / (len(t) + 1500), share, depth / 10, 1.0 if t[-1] in ".!?\"'”»…" else 0.0, 2 * len(w) / (len(w) + 30), 1.0 if last[:1] == "h" and last[1:].isdigit() else 0.0)
     return texts, x
 
 
@@ -260,7 +267,7 @@ def invented_page(rng: np.random.Generator) -> tuple[str, set[str]]:
         return wrap("form", f"<label>{words(2)}</label><input name=q><p>{words(4)}</p>", ("search", "login", "subscribe", "contact"))
 
     def paragraph() -> str:
-        t = keep(prose(1, 7))
+        t = keep(prose(1, 7) if rng.random() < 0.85 else words(int(rng.integers(1, 6))) + ".")
         kind = rng.random()
         if kind < 0.12 and " " in t:
             a, b = t.split(" ", 1)

@@ -112,6 +112,18 @@ class _Kept(dict):
         return out
 
 
+def uncollected(rows: Iterator) -> Iterator:
+    """The rows, without the garbage collector while they are worked on: pieces hold no cycles, and to walk over all kept
+    ones costs more than the encoding.  Its state is as before afterwards."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield from rows
+    finally:
+        if on:
+            gc.enable()
+
+
 @lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
@@ -136,8 +148,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        gc.disable()  # pieces hold no cycles; a collector that walks over all kept ones costs more than the encoding
-        for b, _, _ in batches_of(batches, "text", ENCODE_BYTES):
+        for b, _, _ in uncollected(batches_of(batches, "text", ENCODE_BYTES)):
             ids = [[i for p in c.encode(t) for i in p[3]] for t in b.column(1).fill_null("").to_pylist()]
             cols = [b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([decode(x, c.raw) for x in ids], pa.binary())]
             if offsets:
@@ -154,8 +165,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        gc.disable()  # pieces hold no cycles; a collector that walks over all kept ones costs more than the encoding
-        for b, _, _ in batches_of(batches, "text", ENCODE_BYTES):
+        for b, _, _ in uncollected(batches_of(batches, "text", ENCODE_BYTES)):
             n, a, d = [], [], []
             for t in b.column(1).fill_null("").to_pylist():
                 counts, ids, decoded, _ = zip(*c.encode(t), strict=True) if t else ((), (), (), ())

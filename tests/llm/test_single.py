@@ -101,6 +101,66 @@ def test_warc_records(spark):
     assert warc.derive(d.where("false"), "page_id", "url", "html").count() == 0
 
 
+def test_warc_keeps_what_the_source_says(spark):
+    message = b'HTTP/1.1 200 OK\r\nETag: "x"\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2;\r\n path=/\r\nContent-Type: text/html; charset="utf-8"\r\n\r\n<p>\xc3\xa9</p><p title="a>b">x<svg-icon></svg-icon>y'
+    source = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Date: 2023-05-06T07:08:09Z\r\nWARC-Target-URI: http://a/\r\nWARC-IP-Address: 10.0.0.1\r\nContent-Length: %d\r\n\r\n" % len(message) + message + b"\r\n\r\n"
+    other = b"WARC/1.1\r\nWARC-Type: request\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    got = warc.from_records(spark.createDataFrame([(7, bytearray(other + source)), (8, None)], "n long, data binary"), "n", "data").collect()
+    by = {r.warc_type: r for r in got}
+    assert len(got) == 2 and {(r.refers_to, r.warc_date, r.target_uri, r.key) for r in got} == {("<urn:uuid:1>", "2023-05-06T07:08:09Z", "http://a/", 7)}
+    fields = bytes(by["metadata"].block).decode().split("\r\n")
+    assert [f for f in fields if "cookie" in f] == ["source-http-set-cookie: a=1", "source-http-set-cookie: b=2; path=/"]
+    assert 'source-http-etag: "x"' in fields and "source-warc-warc-ip-address: 10.0.0.1" in fields
+    assert bytes(by["conversion"].block).decode() == "é\nxy"
+    given = spark.createDataFrame([(1, "u", bytearray(message), "<urn:uuid:2>", "2020-01-01T00:00:00Z")], "k long, u string, b bytes, id string, d string".replace("bytes", "binary"))
+    assert {(r.refers_to, r.warc_date) for r in warc.derive(given, "k", "u", "b", id_col="id", date_col="d").collect()} == {("<urn:uuid:2>", "2020-01-01T00:00:00Z")}
+
+
+def test_warc_ids_and_lines(spark):
+    rows = [(1, "http://a/\r\nX-Evil: 1", "<p>x</p>")] * 3 + [(None, None, None)] * 2
+    d = spark.createDataFrame(rows, "block long, key string, warc string").repartition(3)  # names that clash with the records' own
+    got = warc.with_warc(warc.derive(d, "block", "key", "warc", bare=True)).collect()
+    assert len({r.record_id for r in got}) == len(got) == 10 and len({r.refers_to for r in got}) == 5
+    for r in got:
+        assert bytes(r.warc) == warc.serialise(r.asDict())
+        ((headers, _),) = warc.parse(bytes(r.warc))
+        assert "X-Evil" not in headers
+    long = warc.visible_text("<p>" + "word " * 200_000 + "</p>")
+    assert len(long.split()) == 200_000
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [("<p>One.</p><svg-icon></svg-icon><p>Two.</p>", ["One.", "Two."]), ("<p>One.</p><svg/><p>Two.</p>", ["One.", "Two."]), ('<p title="a>b">One</p>', ["One"]), ("<button-group><p>A</p></button-group>B", ["A", "B"]), ("<div>a<button>x</div><p>b</p>", ["a", "b"]), ("<!-->a<!-- <p>no --!>b", ["ab"]), ("<script>if (a</b) '</p>'</SCRIPT >c", ["c"]), ("<p>a<select><option>1<option>2</select>b", ["a b"]), ("a < b <3 & c", ["a < b <3 & c"]), ("x<style>p{}", ["x"])],
+)
+def test_leaves_of_odd_markup(page, want):
+    assert blocks.leaves(page)[0] == want
+
+
+def test_blocks_are_told_apart_by_all_words():
+    same = " ".join(["word"] * 60)
+    a, b = (blocks.leaves(f"<p>{same} {end}</p>")[1] for end in ("word " * 40, "other " * 40))
+    assert not np.array_equal(a, b)
+
+
+def test_pages_with_clashing_columns_and_none(spark):
+    d = spark.createDataFrame([(1, "u", "<article><p>Some text of the page, long enough to count.</p></article>", "mine", 3)], "page_id long, url string, html string, text string, n_chars int")
+    assert blocks.extract(d).columns == ["page_id", "url", "text", "n_chars"] and blocks.extract(d).first().text.startswith("Some text")
+    assert blocks.extract(d.where("false")).count() == 0
+
+
+#: Pages written by hand, with their main text.
+HAND = [
+    ("<html><body><header><a href=/>Site</a></header><main><h1>Rain in the north</h1><p>Rivers rose over night and two bridges were closed.</p><p>Trains run again since noon.</p></main><footer>&copy; 2020 The Paper</footer></body></html>", "Rain in the north\nRivers rose over night and two bridges were closed.\nTrains run again since noon."),
+    ('<nav class="menu"><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav><article><h1>How to bake bread</h1><p>Mix flour, water and salt, and let it rest for an hour.<ul><li>Heat the oven to 230 degrees.<li>Bake for forty minutes.</ul></article><section class="comments"><h2>Comments</h2><p>Great recipe, thanks a lot for it!</p></section>', "How to bake bread\nMix flour, water and salt, and let it rest for an hour.\nHeat the oven to 230 degrees.\nBake for forty minutes."),
+    ('<div class="cookie-notice">We use cookies to make this site better.</div><article><p>The old mill was built in 1790 and still works.</p><div class="advert">Buy two mills, get one free today!</div><p>Visitors may see it on Sundays.</p></article><aside class="sidebar"><h3>Related</h3><ul><li><a href=c>Other mills</a></ul></aside>', "The old mill was built in 1790 and still works.\nVisitors may see it on Sundays."),
+]
+
+
+def test_pages_that_the_generator_did_not_write():
+    assert blocks.main_texts([p for p, _ in HAND], blocks.trained()) == [t for _, t in HAND]
+
+
 # ---------------------------------------------------------------- 6
 
 
