@@ -14,7 +14,7 @@ the directory of annuli (at most MAX_PIVOTS * RINGS rows) reach the driver and a
 
 Vectors that are null, or hold null or non-finite components, and rows without an id take no part.  Shorter vectors
 count as filled up with zeros.  Equal rows tie and go by id; rows that repeat a query's id are the query's own.  Empty
-tables give empty results.  Scores are sums of long integers.
+tables give empty results.  Scores are sums of long integers; vectors too long for that are an error.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, released, stored
 
 SAMPLE = 4096
 MAX_PIVOTS = 256
@@ -84,6 +84,8 @@ def search(df: DataFrame, queries: str, k: int = 5, id_col: str = "vec_id", vec_
     s = every.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(norm).alias("top"), F.count_if("q").alias("nq")).first()
     n, dim, top = s["n"], s["dim"] or 0, s["top"] or 0.0
     exact = top < 2**52  # then every partial sum of a product is an exact double
+    if top >= 2**62:
+        raise OverflowError("scores of these vectors don't fit long integers")
     out = "query_id long, rank int, id long, score long"
     if not n or not dim:
         return spark.createDataFrame([], out).withColumnRenamed("id", id_col)
@@ -107,9 +109,9 @@ def search(df: DataFrame, queries: str, k: int = 5, id_col: str = "vec_id", vec_
     blocks = -(-sizes // BLOCK)
     groups = max(1, -(-s["nq"] // BLOCK))
 
-    # the index by (annulus, block, group of queries)
+    # the index by (annulus, block); queries come in groups of about BLOCK
     ann = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"cell": int(c), "ring": int(r), "ann": i, "blocks": int(z)} for i, (c, r, z) in enumerate(zip(cells, rings, blocks, strict=True))])), "array<struct<cell int, ring int, ann int, blocks int>>")))
-    held = index.join(F.broadcast(ann), ["cell", "ring"]).select("id", "v", "ann", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
+    held = index.join(F.broadcast(ann), ["cell", "ring"]).select("id", "v", "ann", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     asked = index.where("q").select("id", "v", F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(groups)).cast("int").alias("grp")).dropDuplicates(["id"])
 
     margin = 1e-6 * (1 + math.sqrt(top)) * 4
@@ -175,7 +177,8 @@ def search(df: DataFrame, queries: str, k: int = 5, id_col: str = "vec_id", vec_
 
     def run(want: DataFrame) -> DataFrame:
         keys = ["ann", "block", "grp"]
-        return held.groupBy(*keys).cogroup(want.groupBy(*keys)).applyInArrow(meet, "query_id long, id long, score long, ann int")
+        visited = want.select(*[F.col(k).alias(k) for k in keys]).distinct()  # a block goes to the groups of queries that visit it, and to no other
+        return held.join(visited, ["ann", "block"]).groupBy(*keys).cogroup(want.groupBy(*keys)).applyInArrow(meet, "query_id long, id long, score long, ann int")
 
     schema = "id long, v array<bigint>, grp int, ann int, block int"
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -184,7 +187,10 @@ def search(df: DataFrame, queries: str, k: int = 5, id_col: str = "vec_id", vec_
     floors = one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor"))
     state = asked.join(floors, asked["id"] == floors["query_id"], "left").join(start.groupBy("id").agg(F.collect_set("ann").alias("seen")), "id", "left")
     state = state.select("id", "v", "grp", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), F.coalesce("seen", F.array().cast("array<int>")).alias("seen"))
-    two = run(state.mapInArrow(lambda it: visits(it, False), schema))
+    two = run(stored(state.mapInArrow(lambda it: visits(it, False), schema), "topk-more"))
     ranked = one.unionByName(two).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+    out = stored(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score"), "topk-result")
+    dropped(every, index, start, one)
+    released(spark)
+    return out
 
