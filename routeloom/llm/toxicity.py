@@ -10,8 +10,9 @@ lengths.  An insult with inserted letters or gaps keeps most of its subsequences
 Training takes labelled documents of a bounded sample (SAMPLE_ROWS rows).  A document is as toxic as its worst sentence,
 a sentence as its worst unit.  Positives are units of toxic documents alone that together
 explain most of them, later also the worst unit of each toxic document without one, and copies of them with inserted letters; negatives are units of
-clean documents, a random draw and, each of ROUNDS rounds, those with the worst margins.  A linear support vector machine
-is fitted on Nystroem features of landmarks from both.  A logistic curve maps a document's margin to its score.
+clean documents: at first a random draw of DRAWN, then by active sets all whose margin counts (above -1), in ROUNDS rounds or
+until none is new.  A linear support vector machine is fitted on Nystroem features of landmarks from both.  A logistic
+curve maps a document's margin to its score.
 
 Because the fitted function is a sum over subsequences, the landmarks' weights are folded into one table of subsequence
 weights, so scoring a text of n letters takes n times a constant.  Whole texts are scored.
@@ -36,6 +37,10 @@ from .common import batches_of, mixed, passes, text_bytes
 
 SAMPLE_ROWS = 6000
 ROUNDS = 4
+#: Clean units that training begins with; and units that stand in for signs of toxicity where rows are too few for counts.
+DRAWN, GUESSED = 1500, 50
+#: What a positive unit weighs, in negative ones.
+PULL = 5.0
 LANDMARKS = 384
 DECAY = 0.7
 SPAN = 7
@@ -216,7 +221,9 @@ class Sparse:
     def __init__(self, units: list[bytes]):
         at, val, self.ends = [], [], [0]
         for u in units:
-            c = np.frombuffer(u[:LONG], np.uint8).astype(np.int64)
+            if len(u) > LONG:
+                raise ValueError("a unit of more than LONG letters")
+            c = np.frombuffer(u, np.uint8).astype(np.int64)
             n = 0
             for a, b in _OFFSETS:
                 k = len(c) - a - b
@@ -234,17 +241,19 @@ class Sparse:
 
     def dot(self, table: np.ndarray) -> np.ndarray:
         """Each row times a table of weights."""
-        total = np.concatenate([[0.0], np.cumsum(table[self.at] * self.val)])
+        total = np.zeros(len(self.at) + 1)
+        np.cumsum(table[self.at] * self.val, out=total[1:])
         return np.diff(total[self.ends])
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 30.0, rounds: int = 60) -> np.ndarray:
     """Weights (the last is the bias) of a linear support vector machine with squared hinge loss, by Newton's method.
 
-    Both classes weigh the same, their rows as `weight` says.
+    A positive row weighs as PULL negative ones, rows of a class as `weight` says: what a row weighs doesn't change as
+    more of the other class come in.
     """
     x = np.hstack([x, np.ones((len(x), 1))])
-    cost = c * len(y) * weight / np.where(y > 0, weight[y > 0].sum(), weight[y < 0].sum()) / 2
+    cost = c * weight * np.where(y > 0, PULL, 1.0)
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
     w = np.zeros(x.shape[1])
@@ -287,14 +296,20 @@ class Model:
 
 
 def _inserted(unit: bytes, rng: np.random.Generator) -> list[bytes]:
-    """The unit with one or two letters put in, and with a sign between all letters."""
+    """The unit with one or two letters put in, and with a sign between all letters; long copies as windows."""
     out = []
     for n in (1, 2):
         u = bytearray(unit)
         for _ in range(n):
             u.insert(int(rng.integers(1, len(u))), int(rng.choice([28, int(rng.integers(1, 27))])))
         out.append(bytes(u))
-    return [*out, bytes(28 if i % 2 else unit[i // 2] for i in range(2 * len(unit) - 1))]
+    out.append(bytes(28 if i % 2 else unit[i // 2] for i in range(2 * len(unit) - 1)))
+    return [u[s : s + LONG] for u in out for s in windows(0, len(u))]
+
+
+def windows(start: int, end: int) -> list[int]:
+    """Where the windows of a unit begin: it is one itself, or each overlaps the next by half."""
+    return [start] if end - start <= LONG else list(range(start, end - LONG // 2, LONG // 2))
 
 
 def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS, rounds: int = ROUNDS, seed: int = 11) -> Model:
@@ -378,25 +393,26 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
             head = word[order[np.unique(doc[order], return_index=True)[1]]]
             top = max(0.0, float(np.quantile(guess[clean], 0.9995))) if len(clean) else 0.0
             bad = np.union1d(bad, head[guess[head] > top])
-            mined = np.union1d(mined, clean[np.argsort(-guess[clean], kind="stable")][:1000])
+            mined = np.union1d(mined, clean[guess[clean] > -1])
         if not len(bad):  # too few rows for counts: the units of toxic documents that clean ones hold least
             bad = np.flatnonzero(usable & (pos > 0))
-            bad = bad[np.lexsort((bad, -pos[bad], neg[bad]))][:50]
+            bad = bad[np.lexsort((bad, -pos[bad], neg[bad]))][:GUESSED]
         if not len(bad) or not len(clean):
             break
-        bad = bad[np.lexsort((bad, -pos[bad]))][:1500]
-        drawn = rng.choice(clean, min(1500, len(clean)), replace=False) if len(clean) else clean
+        bad = bad[np.lexsort((bad, -pos[bad]))]
+        drawn = rng.choice(clean, min(DRAWN, len(clean)), replace=False)
         plus = [words[i] for i in bad]
-        extra = [x for w in plus[:400] for x in _inserted(w, rng) if len(w) > 3]
+        extra = [x for w in plus for x in (_inserted(w, rng) if len(w) > 3 else ()) if len(x) >= 3]
         minus = [words[i] for i in np.setdiff1d(np.union1d(mined, drawn), bad)]
         x = Sparse([*plus, *extra, *minus])
         t = np.r_[np.ones(len(plus) + len(extra)), -np.ones(len(minus))]
         # landmarks: the most frequent positives, and those negatives that are nearest to any of them
         rows = [x.dense(i).astype(np.float32) for i in range(min(len(plus), landmarks * 2 // 3))]
-        near = np.max([x.dot(z) for z in rows], axis=0)
+        cols = [x.dot(z) for z in rows]
+        near = np.max(cols, axis=0)
         first = len(plus) + len(extra)
         rows += [x.dense(int(i) + first).astype(np.float32) for i in np.argsort(-near[first:], kind="stable")[: landmarks - len(rows)]]
-        cols = [x.dot(z) for z in rows]
+        cols += [x.dot(z) for z in rows[len(cols) :]]
         lm = np.array(rows, np.float64)
         val, vec = np.linalg.eigh(lm @ lm.T)
         root = vec[:, val > 1e-4] / np.sqrt(val[val > 1e-4])
@@ -436,8 +452,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         m = train(t.column("text").to_pylist(), t.column("y").to_pylist())
         return pa.table({"table": pa.array([m.table.tobytes()], pa.binary()), "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
 
-    # the sample is bounded, so that one task may hold it; the driver gets the model alone
-    got = texts.join(F.broadcast(own), "id").groupBy(F.lit(0).alias("g")).applyInArrow(learn, "table binary, bias double, slope double, shift double").first()
+    # the sample is bounded (one row an id), so that one task may hold it; the driver gets the model alone
+    got = texts.join(F.broadcast(own), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).groupBy(F.lit(0).alias("g")).applyInArrow(learn, "table binary, bias double, slope double, shift double").first()
     return Model(np.frombuffer(got["table"]), got["bias"], got["slope"], got["shift"]) if got else train([], [])
 
 

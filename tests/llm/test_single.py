@@ -78,6 +78,56 @@ def test_ring_moves_little(spark):
     assert np.mean([a[i] != s for i, s in b.items()]) < 0.25
 
 
+def test_ring_keeps_equal_texts_together(spark, monkeypatch):
+    monkeypatch.setattr(shard, "SHARE", 100)  # the rows of the large group are ranked in shares
+    rows = [(i, f"text {i % 300}") for i in range(1500)] + [(None, "hot")] * 700 + [(7, "same id")] * 50
+    got = shard.assign(frame(spark, rows), 10, 64).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert {len(v) for v in by.values()} == {225} and all(sorted(v) == list(range(225)) for v in by.values())
+    groups = {}
+    for r in got:
+        groups.setdefault(r.text_crc32, set()).add(r.shard)
+    assert len(groups[zlib.crc32(b"hot")]) >= 4 and sum(len(g) > 1 for g in groups.values()) <= 30  # a bound cuts few groups
+
+
+def plain_ring(rows, shards, nodes):
+    """Rows by shard as segments() promises: each arc's rows in turn to its own shard, the rest clockwise to shards with room."""
+    points = shard.ring(shards, nodes)
+    order = list(dict.fromkeys(s for _, s in points))
+    room = {s: len(rows) // shards + (i < len(rows) % shards) for i, s in enumerate(order)}
+    arcs = Counter()
+    for _, t in rows:
+        step = int(hashlib.md5((t or "").encode()).hexdigest()[:8], 16) * shard.FINE >> 32
+        arcs[next((i for i, (p, _) in enumerate(points) if p >= step), 0)] += 1
+    taken, over = Counter(), []
+    for arc, (_, s) in enumerate(points):
+        k = min(arcs[arc], room[s])
+        room[s] -= k
+        taken[arc, s] += k
+        over.append((arc, arcs[arc] - k))
+    for arc, n in over:
+        for i in range(1, len(points) + 1):
+            s = points[(arc + i) % len(points)][1]
+            k = min(n, room[s])
+            room[s] -= k
+            n -= k
+            taken[arc, s] += k
+    return Counter({k: v for k, v in taken.items() if v}), points
+
+
+def test_ring_equals_a_plain_one(spark):
+    rows = [(i, f"t{i * 7919 % 613}") for i in range(1203)]
+    want, points = plain_ring(rows, 12, 16)
+    text = dict(rows)
+    got = Counter()
+    for r in shard.assign(frame(spark, rows), 12, 16).collect():
+        step = int(hashlib.md5(text[r.doc_id].encode()).hexdigest()[:8], 16) * shard.FINE >> 32
+        got[next((i for i, (p, _) in enumerate(points) if p >= step), 0), r.shard] += 1
+    assert got == want
+
+
 # ---------------------------------------------------------------- 3
 
 
