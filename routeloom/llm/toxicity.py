@@ -215,35 +215,46 @@ def margins(u: Units, table: np.ndarray) -> np.ndarray:
     return (total[u.ends] - total[u.starts]) / _NORM[np.minimum(u.ends - u.starts, LONG)]
 
 
+#: Units whose subsequences are held at once while a model is fitted.
+HELD = 4096
+
+
 class Sparse:
-    """Units' vectors over all subsequences, over their norms: rows of (subsequence, weight)."""
+    """The vectors of some units over all subsequences, over their norms: entries of (unit, subsequence, weight)."""
 
     def __init__(self, units: list[bytes]):
-        at, val, self.ends = [], [], [0]
-        for u in units:
-            if len(u) > LONG:
-                raise ValueError("a unit of more than LONG letters")
-            c = np.frombuffer(u, np.uint8).astype(np.int64)
-            n = 0
-            for a, b in _OFFSETS:
-                k = len(c) - a - b
-                if k > 0:
-                    at.append((c[:k] * KINDS + c[a : a + k]) * KINDS + c[a + b : a + b + k])
-                    val.append(np.full(k, DECAY ** (a + b - 2) / _NORM[len(c)]))
-                    n += k
-            self.ends.append(self.ends[-1] + n)
-        self.at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        self.val = np.concatenate(val) if val else np.zeros(0)
-
-    def dense(self, i: int) -> np.ndarray:
-        z = slice(self.ends[i], self.ends[i + 1])
-        return np.bincount(self.at[z], self.val[z], KINDS**3)
+        lens = np.array([len(u) for u in units], np.int64)
+        if len(lens) and lens.max() > LONG:
+            raise ValueError("a unit of more than LONG letters")
+        self.n = len(units)
+        c = np.frombuffer(b"".join(u + b"\0" for u in units), np.uint8).astype(np.int32)
+        unit = np.repeat(np.arange(self.n, dtype=np.int32), lens + 1)
+        norm = _NORM[lens]
+        own, at, val = [], [], []
+        for a, b in _OFFSETS:
+            n = max(0, len(c) - a - b)
+            ok = np.flatnonzero((unit[:n] == unit[a + b :]) & (c[a + b :] > 0))
+            own.append(unit[ok])
+            at.append((c[ok] * KINDS + c[ok + a]) * KINDS + c[ok + a + b])
+            val.append(DECAY ** (a + b - 2) / norm[unit[ok]])
+        self.own, self.at, self.val = np.concatenate(own), np.concatenate(at), np.concatenate(val)
 
     def dot(self, table: np.ndarray) -> np.ndarray:
-        """Each row times a table of weights."""
-        total = np.zeros(len(self.at) + 1)
-        np.cumsum(table[self.at] * self.val, out=total[1:])
-        return np.diff(total[self.ends])
+        """Each unit times a table of weights."""
+        return np.bincount(self.own, table[self.at] * self.val, self.n)
+
+
+def dense(unit: bytes) -> np.ndarray:
+    s = Sparse([unit])
+    return np.bincount(s.at, s.val, KINDS**3)
+
+
+def products(units: list[bytes], tables: list[np.ndarray], out: np.ndarray) -> None:
+    """Units times tables into `out`, HELD units at a time."""
+    for i in range(0, len(units), HELD):
+        s = Sparse(units[i : i + HELD])
+        for k, t in enumerate(tables):
+            out[i : i + HELD, k] = s.dot(t)
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 30.0, rounds: int = 60) -> np.ndarray:
@@ -252,22 +263,29 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 30.0, round
     A positive row weighs as PULL negative ones, rows of a class as `weight` says: what a row weighs doesn't change as
     more of the other class come in.
     """
-    x = np.hstack([x, np.ones((len(x), 1))])
     cost = c * weight * np.where(y > 0, PULL, 1.0)
-    ridge = np.eye(x.shape[1])
+    ridge = np.eye(x.shape[1] + 1)
     ridge[-1, -1] = 1e-3
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
+
+    def parts():
+        for i in range(0, len(x), HELD):
+            own = slice(i, i + HELD)
+            yield np.hstack([x[own], np.ones((len(x[own]), 1))]), y[own], cost[own]
 
     def loss(w: np.ndarray) -> float:
-        return float(w @ ridge @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w)) ** 2).sum())
+        return float(w @ ridge @ w / 2 + sum((k * np.maximum(0, 1 - t * (z @ w)) ** 2).sum() for z, t, k in parts()))
 
     now = loss(w)
     for _ in range(rounds):
-        gap = 1 - y * (x @ w)
-        on = gap > 0
-        xs = x[on]
-        g = ridge @ w - 2 * xs.T @ (cost[on] * y[on] * gap[on])
-        step = np.linalg.solve(ridge + 2 * (xs * cost[on, None]).T @ xs, g)
+        g, h = ridge @ w, ridge.copy()
+        for z, t, k in parts():
+            gap = 1 - t * (z @ w)
+            on = gap > 0
+            zs = z[on]
+            g -= 2 * zs.T @ (k[on] * t[on] * gap[on])
+            h += 2 * (zs * k[on, None]).T @ zs
+        step = np.linalg.solve(h, g)
         t = 1.0
         while (new := loss(w - t * step)) > now - 1e-4 * t * float(g @ step) and t > 1e-6:
             t /= 2
@@ -322,22 +340,32 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
     buf, off = text_bytes(pa.array(texts, pa.string()))
     names: dict[bytes, int] = {}
     word, doc = [], []
-    for i, j in passes(off):
+    for i, j in passes(off, 1 << 18):
         u = units_of(buf[off[i] : off[j]], off[i : j + 1] - off[i])
         raw = u.cls.tobytes()
         which = np.array([names.setdefault(raw[s:e], len(names)) for s, e in zip(u.starts, u.ends, strict=True)], np.int64)
         pairs = np.unique(which * np.int64(j - i) + u.row)
         word.append(pairs // (j - i))
         doc.append(pairs % (j - i) + i)
-    word, doc = np.concatenate(word), np.concatenate(doc)
+    word, doc = np.concatenate(word).astype(np.int32), np.concatenate(doc).astype(np.int32)
     words = list(names)
+    del names, buf
     usable = np.array([len(w) >= 3 for w in words], bool)
     pos, neg = (np.bincount(word[y[doc] == k], minlength=len(words)) for k in (True, False))
     # every distinct unit once, end to end, so that a table scores all of them together
     lens = np.array([len(w) + 1 for w in words], np.int64)
     flat = np.frombuffer(b"".join(w + b"\0" for w in words), np.uint8)
     ends = np.cumsum(lens) - 1
-    every = Units(flat, ends - lens + 1, ends, np.arange(len(words)), np.arange(len(words)))
+
+    def all_margins(model: Model) -> np.ndarray:
+        """The margins of all distinct units, a bounded number of letters at a time."""
+        out = np.full(len(words), -1.0)
+        for i, j in passes(np.concatenate([[0], ends + 1]), 1 << 17):
+            a = ends[i] - lens[i] + 1
+            some = Units(flat[a : ends[j - 1] + 1], ends[i:j] - lens[i:j] + 1 - a, ends[i:j] - a, np.arange(i, j), np.arange(i, j))
+            out[i:j] = margins(some, model.table) + model.bias
+        return np.where(usable, out, -1.0)
+
     clean = np.flatnonzero((neg > 0) & usable)
     # near copies count once: documents that agree in four smallest units, by any of six sets of orders, are one group
     order = np.argsort(doc, kind="stable")
@@ -404,21 +432,24 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS
         plus = [words[i] for i in bad]
         extra = [x for w in plus for x in (_inserted(w, rng) if len(w) > 3 else ()) if len(x) >= 3]
         minus = [words[i] for i in np.setdiff1d(np.union1d(mined, drawn), bad)]
-        x = Sparse([*plus, *extra, *minus])
+        units = [*plus, *extra, *minus]
         t = np.r_[np.ones(len(plus) + len(extra)), -np.ones(len(minus))]
         # landmarks: the most frequent positives, and those negatives that are nearest to any of them
-        rows = [x.dense(i).astype(np.float32) for i in range(min(len(plus), landmarks * 2 // 3))]
-        cols = [x.dot(z) for z in rows]
-        near = np.max(cols, axis=0)
-        first = len(plus) + len(extra)
-        rows += [x.dense(int(i) + first).astype(np.float32) for i in np.argsort(-near[first:], kind="stable")[: landmarks - len(rows)]]
-        cols += [x.dot(z) for z in rows[len(cols) :]]
-        lm = np.array(rows, np.float64)
-        val, vec = np.linalg.eigh(lm @ lm.T)
+        rows = [dense(u).astype(np.float32) for u in plus[: landmarks * 2 // 3]]
+        cols = np.zeros((len(units), landmarks), np.float32)
+        products(units, rows, cols)
+        near = cols[len(units) - len(minus) :, : len(rows)].max(1)
+        more = [dense(minus[int(i)]).astype(np.float32) for i in np.argsort(-near, kind="stable")[: landmarks - len(rows)]]
+        products(units, more, cols[:, len(rows) :])
+        lm = np.array(rows + more, np.float32)
+        del rows, more
+        val, vec = np.linalg.eigh((lm @ lm.T).astype(np.float64))
         root = vec[:, val > 1e-4] / np.sqrt(val[val > 1e-4])
-        w = svm(np.array(cols).T @ root, t, np.r_[np.ones(len(plus)), np.full(len(extra), 0.1), np.ones(len(minus))])
-        model.table, model.bias = lm.T @ (root @ w[:-1]), float(w[-1])
-        guess = np.where(usable, margins(every, model.table) + model.bias, -1.0)
+        for i in range(0, len(cols), HELD):  # in place: the features are no more than the landmarks
+            cols[i : i + HELD, : root.shape[1]] = cols[i : i + HELD, : len(lm)] @ root
+        w = svm(cols[:, : root.shape[1]], t, np.r_[np.ones(len(plus)), np.full(len(extra), 0.1), np.ones(len(minus))])
+        model.table, model.bias = lm.T.astype(np.float64) @ (root @ w[:-1]), float(w[-1])
+        guess = all_margins(model)
     worst = np.full(len(y), -1.0)
     np.maximum.at(worst, doc, np.maximum(-1.0, guess[word]))
     model.slope, model.shift = _logistic(worst, y)
