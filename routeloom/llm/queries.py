@@ -91,7 +91,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w"
 
+_LOWER_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w"
+
 ORACLE_SQL: dict[str, str] = {
+    # bytes as two hexadecimal digits each, in pieces of 500, so that a string is found without counting from the text's start
+    "op1_suffix_dedup": """
+WITH x AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+piece AS (SELECT doc_id, n, unnest(range(0, len(c))) AS k, c FROM (SELECT doc_id, n, regexp_extract_all(h, '.{1,1000}') AS c FROM x)),
+two AS (SELECT doc_id, n, k, c[k + 1] || coalesce(c[k + 2], '') AS s FROM piece),
+g AS (SELECT doc_id, 500 * k + o AS p, md5_number(substr(s, 2 * o + 1, 100)) AS g FROM (SELECT *, unnest(range(0, least(500, n - 500 * k - 49))) AS o FROM two)),
+f AS (SELECT g, min(doc_id) AS f FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, p, p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 AS fresh FROM g JOIN f USING (g) WHERE doc_id > f),
+run AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY p) AS i FROM hit) GROUP BY doc_id, i),
+gap AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM run),
+cut AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) AS kept FROM gap JOIN x USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM x LEFT JOIN cut USING (doc_id)
+""",
+    "op7_size_aware_jaccard": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_LOWER_WORDS} FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' ')) END) AS g FROM d),
+sig AS (SELECT doc_id, count(*) AS n, string_agg(g, chr(10) ORDER BY g) AS sig FROM s GROUP BY doc_id),
+class AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY sig) AS rep FROM sig),
+r AS (SELECT doc_id, n FROM class WHERE doc_id = rep),
+rs AS (SELECT s.doc_id, n, g FROM s JOIN r USING (doc_id)),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM rs a JOIN rs b USING (g) WHERE a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS id, doc_id AS c FROM r UNION SELECT edge.b, reach.c FROM reach JOIN edge ON edge.a = reach.id WHERE reach.c < edge.b),
+component AS (SELECT id, min(c) AS c FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(rep, d.doc_id) AS class_id, coalesce(c, d.doc_id) AS component_id
+FROM d LEFT JOIN class USING (doc_id) LEFT JOIN component ON id = rep
+""",
     "op8_suffix_decontamination": f"""
 WITH b AS (SELECT item_id::VARCHAR AS item_id, {_WORDS} FROM benchmark),
 win AS (
