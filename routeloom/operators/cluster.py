@@ -38,8 +38,11 @@ class SphericalKMeans:
     tolerance: float = TOLERANCE
     centroids: list[list[float]] | None = field(default=None)
 
-    def fit(self, df: DataFrame) -> SphericalKMeans:
-        """Fits on all rows; an error for fewer rows than clusters, unequal lengths, or a zero or undefined norm."""
+    def fit(self, df: DataFrame, starts: np.ndarray | None = None) -> SphericalKMeans:
+        """Fits on all rows; an error for fewer rows than clusters, unequal lengths, or a zero or undefined norm.
+
+        `starts` (restarts, k, d), unit vectors, stand in for drawn ones.
+        """
         shape = df.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("lo"), F.max(F.size("v")).alias("hi")).first()
         if shape["n"] < self.k:
             raise ValueError(f"{shape['n']} rows are fewer than {self.k} clusters")
@@ -48,7 +51,9 @@ class SphericalKMeans:
         parts = -(-shape["n"] // PART_ROWS)
         x = df.select("ord", vectors.unit(F.col("v")).alias("v")).repartitionByRange(parts, "ord").sortWithinPartitions("ord").withColumn("part", F.spark_partition_id()).persist()
         try:
-            starts = self._starts(x, shape["n"])
+            starts = self._starts(x, shape["n"]) if starts is None else np.array(starts, np.float64)
+            if starts.shape != (self.restarts, self.k, shape["lo"]):
+                raise ValueError("starts must have the shape (restarts, clusters, length of a vector)")
             best, top = None, -np.inf
             final, total = self._iterate(x, starts)
             for r in range(self.restarts):

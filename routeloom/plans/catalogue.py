@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -33,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table from rows of the driver."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
 def role_of(c):
     """A role by number."""
     return F.element_at(F.array(*[F.lit(r) for r in ROLES]), (F.pmod(c, F.lit(3)) + 1).cast("int"))
@@ -77,7 +83,7 @@ def records(spark, d):
     return x.select(F.col("doc_id").alias("ord"), role_of(F.col("doc_id")).alias("category"), role_of(F.floor(F.col("doc_id") / 2)).alias("routed"), score.alias("scores"), F.col("quality").cast("double").alias("baseline"))
 
 
-_FLAGS = f"""r AS (SELECT {sql_role('doc_id')} AS category, {sql_role('doc_id // 2')} AS routed, quality AS g, (doc_id % 2)::INT AS m, toxic AS c FROM labels),
+_FLAGS = f"""r AS (SELECT doc_id, {sql_role('doc_id')} AS category, {sql_role('doc_id // 2')} AS routed, quality AS g, (doc_id % 2)::INT AS m, toxic AS c FROM labels),
 f AS (SELECT *, (CASE routed WHEN 'general' THEN g WHEN 'math' THEN m ELSE c END) = 1 AS rok, g = 1 AS bok, greatest(g, m, c) = 1 AS ook FROM r)"""
 
 
@@ -114,6 +120,16 @@ def q_row_oracle(spark, d):
     return f.groupBy("category").agg(F.count_if("oracle_ok").alias("oracle_k"), F.count_if("ok_code").alias("code_k"), F.count_if("ok_math").alias("math_k"))
 
 
+@query(f"WITH {_FLAGS} SELECT (row_number() OVER (ORDER BY min(doc_id)))::INTEGER AS nth, category, count(*) AS n, round(avg(rok::INT), 9) AS routed_acc, round(avg(bok::INT), 9) AS baseline_acc, (SELECT count(*) FILTER (rok) FROM f) AS routed_k, (SELECT count(*) FILTER (c = 1) FROM f) AS code_k, (SELECT count(*) FILTER (ook) FROM f) AS oracle_k FROM f GROUP BY category")
+def q_metrics_computed(spark, d):
+    """The whole metrics of a run, its categories in the order in which records first show them."""
+    m = metrics.compute(records(spark, d))
+    whole = {"routed_k": m["routed"]["k"], "code_k": m["always"]["code"]["k"], "oracle_k": m["oracle"]["k"]}
+    rows = [{"nth": i, "category": c, **v, **whole} for i, (c, v) in enumerate(m["per_category"].items(), 1)]
+    r = literal(spark, rows, "nth int, category string, n bigint, routed_acc double, baseline_acc double, routed_k bigint, code_k bigint, oracle_k bigint")
+    return r.withColumn("routed_acc", F.round("routed_acc", 9)).withColumn("baseline_acc", F.round("baseline_acc", 9))
+
+
 # ---------------------------------------------------------------- vectors, clusters, routing
 
 
@@ -237,6 +253,59 @@ def q_kmeans_fit(spark, d):
     return router.sizes(x.select(model.predict(F.col("v")).alias("cluster")), model.k)
 
 
+def sql_lloyd(steps: int) -> str:
+    """c0 to c<steps>: the first vector of each group, and the centroids after each step."""
+    out = ["u AS (SELECT vec_id, label % 3 AS g, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings))", "c0 AS (SELECT g AS c, arg_min(v, vec_id) AS v FROM u GROUP BY 1)"]
+    for i in range(steps):
+        out += [
+            f"a{i} AS (SELECT u.vec_id, any_value(u.v) AS v, arg_max(c{i}.c, (list_inner_product(u.v, c{i}.v), -c{i}.c)) AS c FROM u CROSS JOIN c{i} GROUP BY 1)",
+            f"m{i} AS (SELECT c, list(x ORDER BY pos) AS v FROM (SELECT c, pos, avg(x) AS x FROM (SELECT c, unnest(range(len(v))) AS pos, unnest(v) AS x FROM a{i}) GROUP BY 1, 2) GROUP BY 1)",
+            f"c{i + 1} AS (SELECT c, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM m{i})",
+        ]
+    return ", ".join(out)
+
+
+@query(f"WITH {sql_lloyd(3)} SELECT c::INTEGER AS cluster, unnest(range(len(v)))::INTEGER AS pos, round(unnest(v), 6) AS x FROM c3")
+def q_kmeans_three_steps(spark, d):
+    """The centroids of a fit that starts from the first vector of each group and stops after three steps."""
+    e = emb(spark, d)
+    first = e.groupBy("g").agg(F.min_by(vectors.unit(F.col("v")), "vec_id").alias("v")).orderBy("g").collect()  # three rows
+    model = cluster.SphericalKMeans(3, restarts=1, max_iter=3).fit(e.select(F.col("vec_id").alias("ord"), "v"), [[r["v"] for r in first]])
+    rows = [{"cluster": c, "pos": i, "x": x} for c, v in enumerate(model.centroids) for i, x in enumerate(v)]
+    return literal(spark, rows, "cluster int, pos int, x double").withColumn("x", F.round("x", 6))
+
+
+def axes(items, key, question):
+    """Embeds by what the question begins with: one of three axes."""
+    return items.select(key, F.array(*[(F.substring(question, 1, 1) == str(i)).cast("double") for i in range(3)]).alias("v"))
+
+
+@query(
+    """WITH i AS (SELECT c_custkey AS ord, c_custkey % 3 AS g, c_nationkey AS k FROM customer),
+m AS (SELECT g, avg((k % 2 = 0)::INT) AS general, avg(CASE g WHEN 0 THEN (k % 2 = 0)::INT ELSE ((k + g) % 3 > 0)::INT END) AS math, avg(CASE g WHEN 1 THEN 0 ELSE (k % 2 = 0 OR g = 2 AND k % 5 > 0)::INT END) AS code FROM i GROUP BY 1),
+a AS (SELECT *, CASE WHEN code > general AND code > math THEN 'code' WHEN math > general THEN 'math' WHEN code > general THEN 'code' ELSE 'general' END AS routed FROM m)
+SELECT ord, routed, round(general, 9) AS general, round(math, 9) AS math, round(code, 9) AS code FROM i JOIN a USING (g)"""
+)
+def q_calibrated_routes(spark, d):
+    """A whole calibration - embedding, the fit from drawn starts, capability matrix, roles - and the routes of the same rows.
+
+    The rows lie on three axes, so that every right fit finds the same clusters; on the first all roles are equally good.
+    """
+    k, g = F.col("c_nationkey"), F.col("c_custkey") % 3
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_custkey").cast("string").alias("id"), F.concat_ws(" ", g, "c_name").alias("question"), role_of(k).alias("category"), k.alias("k"), g.alias("g"))
+
+    def scores(asked):
+        even, k, g = F.col("k") % 2 == 0, F.col("k"), F.col("g")
+        math = F.when(g == 0, even).otherwise((k + g) % 3 > 0)
+        code = F.when(g == 1, False).otherwise(even | ((g == 2) & (k % 5 > 0)))
+        return asked.select("id", "role", F.when(F.col("role") == "general", even).when(F.col("role") == "math", math).otherwise(code).cast("double").alias("score"))
+
+    r = router.Router(embed=axes)
+    r.calibrate(rows, scores, min_cluster_warn=0)
+    means = literal(spark, [{"cluster": c, **by} for c, by in r.matrix.items()], "cluster int, general double, math double, code double")
+    return r.route(rows).join(F.broadcast(means), "cluster").select("ord", "routed", *[F.round(x, 9).alias(x) for x in ROLES])
+
+
 _TOKENS = "tk AS (SELECT {id} AS id, unnest(CASE WHEN len(t) = 0 THEN ['<empty>'] ELSE t END) AS t FROM (SELECT {id}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS t FROM {table})), w AS (SELECT id, (md5_number_upper(t) % 384)::INTEGER AS idx, sum(CASE WHEN md5_number_lower(t) % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS w FROM tk GROUP BY 1, 2)"
 
 
@@ -443,6 +512,28 @@ def q_mock_generation(spark, d):
 # ---------------------------------------------------------------- items
 
 
+@query(
+    f"""SELECT row_number() OVER (ORDER BY item_id) - 1 AS ord, item_id::VARCHAR AS id, {sql_role('item_id')} AS category, text AS question, (['contains', 'numeric', 'mcq_letter', 'python_exec'])[item_id % 4 + 1] AS verifier,
+CASE item_id % 4 WHEN 0 THEN 'a|' || item_id END AS terms, CASE item_id % 4 WHEN 1 THEN item_id / 4.0::DOUBLE END AS answer_num, CASE item_id % 4 WHEN 2 THEN 'C' END AS answer_letter, CASE item_id % 4 WHEN 3 THEN 'assert True' END AS test_assertions, CASE item_id % 4 WHEN 1 THEN 0.5::DOUBLE END AS rel_tol
+FROM benchmark"""
+)
+def q_load_items(spark, d):
+    """The benchmark as a file with a JSON array of items of all four kinds, validated, typed and in order."""
+    k, i = F.col("item_id") % 4, F.col("item_id")
+    base = [i.alias("id"), role_of(i).alias("category"), F.col("text").alias("question")]
+    kinds = [
+        [F.lit("contains").alias("verifier"), F.array(F.lit("a"), i.cast("string")).alias("answer")],
+        [F.lit("numeric").alias("verifier"), (i / F.lit(4.0)).alias("answer"), F.lit(0.5).alias("rel_tol")],
+        [F.lit("mcq_letter").alias("verifier"), F.lit("C").alias("answer")],
+        [F.lit("python_exec").alias("verifier"), F.lit("assert True").alias("test_assertions")],
+    ]
+    js = F.coalesce(*[F.when(k == n, F.to_json(F.struct(*base, *own))) for n, own in enumerate(kinds)])
+    path = f"{scratch(spark)}/items.json"
+    files.write_list(path, (r["j"] for r in table(spark, d, "benchmark").select("item_id", js.alias("j")).orderBy("item_id").toLocalIterator()))
+    x = items.load_items(spark, path)
+    return x.select("ord", "id", "category", "question", "verifier", F.when(F.col("verifier") == "contains", F.array_join("answer_terms", "|")).alias("terms"), "answer_num", "answer_letter", "test_assertions", "rel_tol")
+
+
 @query("SELECT conv_id::VARCHAR AS id, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1")
 def q_dup_ids(spark, d):
     return router.duplicate_ids(table(spark, d, "conversations").withColumnRenamed("conv_id", "id"))

@@ -52,6 +52,8 @@ def test_kmeans_errors(spark):
         SphericalKMeans().fit(frame(spark, np.vstack([np.eye(3), np.zeros(3)])))
     with pytest.raises(RuntimeError):
         SphericalKMeans().predict(F.col("v"))
+    with pytest.raises(ValueError, match="starts"):
+        SphericalKMeans(restarts=1).fit(frame(spark, np.eye(3)), np.eye(3)[None, :2])
 
 
 def test_hash_embed(spark):
