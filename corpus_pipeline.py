@@ -51,7 +51,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: No stage but the fourth is expressible in SQL; tests hold the stages against plain versions.
+#: The first and the last stage are not expressible in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
