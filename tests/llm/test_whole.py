@@ -1,5 +1,7 @@
 """Rows, texts and words that the operators once left out."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -18,6 +20,40 @@ def texts(df):
     return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
 
 
+# ---------------------------------------------------------------- op1 on many blocks
+
+
+def test_stable_order_of_names():
+    g = np.random.default_rng(5)
+    for n in (0, 1, 2, 3000, 70_000):
+        for top in (1, 4, 1 << 34, (1 << 64) - 1):
+            x = g.integers(0, top, n, dtype=np.uint64, endpoint=True)
+            x[::3] = x[:1]
+            x[1::5] ^= np.uint64(1)
+            assert (suffixes.ordered(x) == np.argsort(x, kind="stable")).all()
+    for x in (np.arange(40_000, 0, -1, dtype=np.uint64), np.r_[np.arange(400, 0, -1, dtype=np.uint64), np.uint64((1 << 64) - 1)]):
+        assert (suffixes.ordered(x) == np.argsort(x, kind="stable")).all()
+
+
+def test_wanted_names_cost_no_more_with_more_blocks():
+    def taken(blocks, n):
+        g = np.random.default_rng(6)
+        names = [np.unique(g.integers(0, 1 << 33, n).astype(np.uint64)) for _ in range(blocks)]
+        names[0] = np.unique(np.r_[names[0], names[-1][:9]])
+        wants = [g.random(len(x)) < 0.2 for x in names]
+        sent = lambda kind, data: pa.table([range(blocks), [kind] * blocks, [7] * blocks, pa.array(data, pa.binary())], schema=suffixes._RECORD)
+        left, right = sent(suffixes.DRAWN, [common.packed_sorted(x) for x in names]), sent(suffixes.WANTED, [suffixes._bits(x) for x in wants])
+        began = time.process_time()
+        got = suffixes._any(left, right)
+        took = time.process_time() - began
+        wanted = {int(v) for x, w in zip(names, wants, strict=True) for v in x[w]}
+        assert all((suffixes._unbits(d) == [int(v) in wanted for v in names[b]]).all() for b, d in zip(got["block"].to_pylist(), got["data"].to_pylist(), strict=True))
+        return took
+
+    # as many names in thirty times as many blocks
+    assert taken(900, 400) < 8 * max(taken(30, 12_000), 0.05)
+
+
 # ---------------------------------------------------------------- rows without an id
 
 
