@@ -5,6 +5,8 @@ Text is handled as UTF-8 bytes.  A null text is an empty one.  Texts are read wh
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import hashlib
 import math
@@ -72,6 +74,13 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trimmed() -> None:
+    """Gives a Python worker's free memory back to the system: Spark keeps workers for later tasks, and the C library what they freed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def parts_of(spark: SparkSession, items: float, per_part: int) -> int:
     """A number of hash parts: so many that one holds about per_part items, and no fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(items / per_part))

@@ -38,15 +38,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, fresh, own_id, packed, packed_sorted, parts_of, range_blocks, released, row_keys, spans, stored, sums, unpack, unpacked, unpacked_sorted
+from .common import dropped, fresh, own_id, packed, packed_sorted, parts_of, range_blocks, released, row_keys, spans, stored, sums, trimmed, unpack, unpacked, unpacked_sorted
 
 LENGTH = 50
 #: Perfect difference covers (fixed values): every residue modulo V is a difference of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (1, 5, 11, 24, 25, 27)}
 #: Names of the first level in one range.
 NAMES = 2 << 20
-#: Bytes whose fingerprints are computed at once.
-STEP = 1 << 20
+#: Bytes whose fingerprints are computed at once: what a step holds stays in a core's cache.
+STEP = 1 << 17
 
 
 def cover_for(length: int) -> int:
@@ -134,16 +134,32 @@ class Block:
 
     def fits(self, at: np.ndarray, size: int) -> np.ndarray:
         """Of sorted positions those with `size` bytes before the end of their row."""
-        end = self.off[np.searchsorted(self.off, at, "right")]
-        return at[at + size <= end]
+        return at[at + size <= self.per_row(self.off[1:], at)]
+
+    def per_row(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Each row's value of x for the sorted positions in that row."""
+        return np.repeat(x, np.diff(np.searchsorted(at, self.off)))
 
     def names(self, at: np.ndarray, size: int, bits: int = 64) -> Names:
-        own = self.doc[np.searchsorted(self.off, at, "right") - 1]
-        return Names(at, own, fingerprints(self.buf, at, size) >> np.uint64(64 - bits))
+        return Names(at, self.per_row(self.doc, at), self.values(at, size, bits))
 
-    def samples(self) -> Names:
+    def values(self, at: np.ndarray, size: int, bits: int) -> np.ndarray:
+        out = fingerprints(self.buf, at, size)
+        out >>= np.uint64(64 - bits)
+        return out
+
+    def sampled(self) -> np.ndarray:
         at = (np.arange(len(self.buf) // self.v + 1)[:, None] * self.v + np.array(COVERS[self.v])).ravel()
-        return self.names(self.fits(at[at < len(self.buf)], self.tuple), self.tuple, self.bits)
+        return self.fits(at[: np.searchsorted(at, len(self.buf))], self.tuple)
+
+    def samples(self) -> Names:
+        return self.names(self.sampled(), self.tuple, self.bits)
+
+    def sample_values(self) -> np.ndarray:
+        """The sorted distinct names of samples."""
+        out = self.values(self.sampled(), self.tuple, self.bits)
+        out.sort()
+        return out[np.diff(out, prepend=~out[:1]) != 0]
 
     def joined(self, shared: np.ndarray) -> Names:
         """Shared samples whose next one of the residue is shared too, by length + v bytes."""
@@ -156,21 +172,25 @@ class Block:
         a sample those to its right, for others those to its left.  Strings around a name begin from `lo`, given too, up to it."""
         right = self.fits(shared, self.length - self.half)
         left = shared - self.half - 1
-        row = np.searchsorted(self.off, shared, "right") - 1
-        left = left[left >= self.off[row]]
+        left = left[left >= self.per_row(self.off[:-1], shared)]
         size = self.half + 1 + self.tuple
         at = np.concatenate([right, left])
-        value = np.concatenate([fingerprints(self.buf, right, self.length - self.half), fingerprints(self.buf, left, size)]) >> np.uint64(64 - self.bits)
+        value = np.concatenate([self.values(right, self.length - self.half, self.bits), self.values(left, size, self.bits)])
         lo = np.concatenate([right - self.half, left + self.half + 2 - self.v])
         order = np.argsort(at, kind="stable")
-        own = self.doc[np.searchsorted(self.off, at[order], "right") - 1]
-        return Names(at[order], own, value[order]), np.maximum(lo, 0)[order]
+        at = at[order]
+        return Names(at, self.per_row(self.doc, at), value[order]), np.maximum(lo, 0)[order]
 
     def covered(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The mask of what the ranges lo..hi (hi not included) cover."""
-        n = len(self.buf)
-        edge = np.bincount(lo, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(hi, n), minlength=n + 1)[: n + 1]
-        return np.cumsum(edge[:-1]) > 0
+        """The mask of what the ranges lo..hi (hi not included) cover; one byte a byte of text, as ranges that touch are one."""
+        edge = np.zeros(len(self.buf) + 1, np.int8)
+        if len(lo):
+            order = np.argsort(lo, kind="stable")
+            lo, hi = lo[order], np.maximum.accumulate(np.minimum(hi, len(self.buf))[order])
+            new = np.flatnonzero(lo[1:] > hi[:-1]) + 1
+            edge[lo[np.append(0, new)]] = 1
+            edge[hi[np.append(new, len(lo)) - 1]] = -1
+        return np.cumsum(edge[:-1], dtype=np.int8).view(bool)
 
     def decided(self, removed: np.ndarray) -> np.ndarray:
         """Beginnings of strings that lie in one removed name: a smaller document has that whole."""
@@ -252,16 +272,18 @@ def analysed(docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], s
     bits = max(32, min(63, math.ceil(math.log2(size["bytes"] + 2)) + 4))
     parts = parts_of(spark, size["bytes"] * len(COVERS[v]) / v, NAMES)
 
-    def sent(n: Names, kind: int, bits: int) -> list[tuple[int, int, bytes]]:
-        return [(kind, p, packed_sorted(n.values[a:z])) for p, a, z in _by_part(n.values, bits, parts)]
+    def sent(values: np.ndarray, kind: int, bits: int) -> list[tuple[int, int, bytes]]:
+        return [(kind, p, packed_sorted(values[a:z])) for p, a, z in _by_part(values, bits, parts)]
 
     def kept(kind: int, at: np.ndarray) -> tuple[int, int, bytes]:
         return kind, -1, packed_sorted(at.astype(np.uint32))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                yield from _record(r["block"], sent(Block(r, length, v, bits).samples(), SAMPLE, bits)).to_batches()
+            for i in range(len(batch)):
+                (r,) = batch.slice(i, 1).to_pylist()
+                yield from _record(r["block"], sent(Block(r, length, v, bits).sample_values(), SAMPLE, bits)).to_batches()
+                trimmed()
 
     def stage(known: DataFrame, step: Callable[[Block, Told], pa.Table | list], out: str = RECORD) -> DataFrame:
         """A step of every block with what it knows."""
@@ -271,6 +293,7 @@ def analysed(docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], s
                 raise ValueError("no block of this name")
             (r,) = left.to_pylist()
             got = step(Block(r, length, v, bits), Told(right))
+            trimmed()
             return got if isinstance(got, pa.Table) else _record(r["block"], got)
 
         return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, out)
@@ -278,15 +301,16 @@ def analysed(docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], s
     def join(b: Block, told: Told) -> list:
         n = b.samples()
         shared = n.at[(told.bits(SAMPLE) | (n.first != n.last))[n.place]]
-        return [kept(SHARED, shared), *sent(b.joined(shared), JOINED, 64), *sent(b.drawn(shared)[0], DRAWN, bits)]
+        del n
+        return [kept(SHARED, shared), *sent(b.joined(shared).values, JOINED, 64), *sent(b.drawn(shared)[0].values, DRAWN, bits)]
 
     def ask(b: Block, told: Told) -> list:
         shared = told.positions(SHARED)
         n = b.joined(shared)
         removed = n.at[n.smaller(told.bits(JOINED))]
         n, lo = b.drawn(shared)
-        left = np.zeros(len(b.buf) + 1, np.int64)
-        np.cumsum(~b.decided(removed), out=left[1:])
+        left = np.zeros(len(b.buf) + 1, np.int32)
+        np.cumsum(~b.decided(removed), out=left[1:], dtype=np.int32)
         asks = n.smaller(told.bits(DRAWN)) & (left[n.at + 1] > left[lo])
         wanted = np.zeros(len(n.values), bool)
         wanted[n.place[asks]] = True
@@ -297,7 +321,7 @@ def analysed(docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], s
         wanted = told.bits(WANTED)[n.place]
         around = b.covered(lo[wanted], n.at[wanted] + 1) & ~b.decided(told.positions(REMOVED))
         at = b.fits(np.flatnonzero(around), length)
-        return [kept(REST, at), *sent(b.names(at, length), WHOLE, 64)]
+        return [kept(REST, at), *sent(b.names(at, length).values, WHOLE, 64)]
 
     def end(b: Block, told: Told) -> pa.Table:
         removed = told.positions(REMOVED)
@@ -305,8 +329,13 @@ def analysed(docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], s
         last = n.at[n.smaller(told.bits(WHOLE))]
         return finish(b, b.covered(removed, removed + length + v) | b.covered(last, last + length))
 
+    def compare(t: pa.Table) -> pa.Table:
+        out = _compare(t)
+        trimmed()
+        return out
+
     def compared(messages: DataFrame, name: str) -> DataFrame:
-        out = stored(messages.where("part >= 0").groupBy("part").applyInArrow(_compare, RECORD), name)
+        out = stored(messages.where("part >= 0").groupBy("part").applyInArrow(compare, RECORD), name)
         released(spark)
         return out
 

@@ -1,6 +1,7 @@
 """Rows, texts and words that the operators once left out."""
 
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,35 @@ def test_wanted_names_cost_no_more_with_more_blocks():
     assert taken(900, 400) < 8 * max(taken(30, 12_000), 0.05)
 
 
+def block_of(texts):
+    return suffixes.Block(common._packed_rows(1, np.arange(1, len(texts) + 1), pa.array(texts)), 50, 31, 40)
+
+
+def test_ranges_cover_as_a_plain_mask():
+    g = np.random.default_rng(7)
+    b = block_of(["x" * 90, "", "y" * 110])
+    for n in (0, 1, 5, 40):
+        lo = g.integers(0, 200, n)
+        hi = lo + g.integers(1, 60, n)
+        plain = np.zeros(200, bool)
+        for a, z in zip(lo, hi, strict=True):
+            plain[a:z] = True
+        assert (b.covered(lo, hi) == plain).all()
+    assert (b.covered(np.array([0, 10, 20, 199]), np.array([10, 20, 21, 260])) == np.r_[np.ones(21, bool), np.zeros(178, bool), True]).all()
+
+
+def test_a_block_needs_few_bytes_for_a_byte_of_text():
+    text = np.random.default_rng(8).integers(97, 123, 4 << 20).astype(np.uint8).tobytes().decode()
+    b = block_of([text[i : i + 4096] for i in range(0, len(text), 4096)])
+    n = b.samples()
+    removed = n.at[::40]
+    tracemalloc.start()
+    mask = b.decided(removed)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert mask.sum() > len(text) // 10 and most < 6 * len(text)
+
+
 # ---------------------------------------------------------------- rows without an id
 
 
